@@ -13,6 +13,7 @@ from veilspark.operators import js_code, python_code
 from veilspark.operators.files import route_files
 from veilspark.operators.splicing import by_key
 from veilspark.operators.text_tables import KEY, bracket_error
+from veilspark.session import ensure_checkpoint_dir
 
 ENGINE = "veilspark 0.1.0"
 
@@ -93,7 +94,7 @@ def redact_file(
     is_python = F.col("route") == "python"
     error = F.when(
         F.col("route") != "unsupported",
-        F.when(F.col("text").isNull(), "unreadable").when(is_python, bracket_error(F.col("text"), F.lit(True))),
+        F.when(F.col("text").isNull(), "unreadable").when(is_python, bracket_error(F.col("text"), True)),
     )
     rows = routed.select(*k, "text", "language", "route").withColumn("error", error)
 
@@ -172,17 +173,26 @@ def _header_text(strict: bool, policy: str) -> str:
 
 
 def context_document(
-    redacted: DataFrame, by: str | None = None, strict: bool = False, policy: str = "defaults"
+    redacted: DataFrame,
+    by: str | None = None,
+    strict: bool = False,
+    policy: str = "defaults",
+    listing: DataFrame | None = None,
 ) -> DataFrame:
     """The context document as ordered parts ``(by, rank, path, seq, text)``.
 
+    ``listing`` is the corpus the view was made from: the tree, the headers and the list of unsupported files
+    come from its paths alone, and the view is computed for the sections only. Without it they come from
+    ``redacted``, which should then be a stored table.
+
     The document is the ``text`` of the parts in (rank, path, seq) order, one per line. Parts stay rows, so a
     repository that holds a third of all files is no single task's or cell's burden; ``write_context`` writes
     them in order and ``document_text`` assembles those that fit a bound.
     """
     group = [by] if by else []
     supported = F.col("route") != "unsupported"
-    tree = redacted.select(*group, "path").distinct().select(*group, F.lit(2).alias("rank"), "path", F.col("path").alias("text"))
+    found = (redacted if listing is None else route_files(listing)).select(*group, "path", "route")
+    tree = found.select(*group, "path").distinct().select(*group, F.lit(2).alias("rank"), "path", F.col("path").alias("text"))
 
     fence = F.when(F.col("route") == "python", "python").otherwise(F.col("language"))
     shown = F.when(F.col("route") == "python", F.regexp_replace("text", r"\n+\z", "")).otherwise(F.col("text"))
@@ -199,10 +209,10 @@ def context_document(
     sections = redacted.where(supported).select(
         *group, F.when(F.col("route") == "python", 4).otherwise(5).alias("rank"), "path", section.alias("text")
     )
-    items = redacted.where(~supported).select(
+    items = found.where(~supported).select(
         *group, F.lit(7).alias("rank"), "path", F.concat(F.lit("- `"), F.col("path"), F.lit("`")).alias("text")
     )
-    frames = redacted.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(~supported).alias("n_other"))
+    frames = found.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(~supported).alias("n_other"))
     empty = F.col("n") == 0
     pieces = F.array(
         F.struct(F.lit(0).alias("rank"), F.lit(_header_text(strict, policy)).alias("text")),
@@ -230,8 +240,11 @@ def document_text(parts: DataFrame, by: str, max_bytes: int = 64 << 20) -> DataF
     """``(by, bytes, document)`` with one string per document of at most ``max_bytes``.
 
     Larger documents keep their row with a null string: their parts remain the exact form, and
-    ``write_context`` writes them. Only parts of the documents within the bound are collected.
+    ``write_context`` writes them. Only parts of the documents within the bound are collected. The parts are
+    needed twice (sizes, then texts), so they are checkpointed rather than computed again.
     """
+    ensure_checkpoint_dir(parts.sparkSession)
+    parts = parts.checkpoint()
     sizes = parts.groupBy(by).agg(F.sum(F.octet_length("text") + 1).cast("bigint").alias("bytes"))
     small = parts.join(sizes.where(F.col("bytes") <= max_bytes).select(by), by, "left_semi")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "path", "seq", "text")))

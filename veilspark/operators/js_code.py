@@ -45,6 +45,11 @@ VALUE_BEFORE_BRACE = (
 )
 
 
+def one_of(column: str, *values: str) -> Column:
+    """``column IN (...)`` as one SQL expression."""
+    return F.expr(f"{column} IN (" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
 def _struct_before(cond: Column, value: Column, window) -> Column:
     return F.last(F.when(cond, value), ignorenulls=True).over(
         window.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +76,7 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
     ln = F.coalesce(F.sum(breaks).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     cut = cut.select("*", ln.cast("bigint").alias("ln"), JS_LEXER.head(F.col("unit")).alias("sig")).where("sig <> ''")
     rest = F.substring(F.col("unit"), F.length("sig") + 1, F.length("unit"))
-    is_open, is_close = F.col("sig").isin(*OPENERS), F.col("sig").isin(*CLOSERS)
+    is_open, is_close = one_of("sig", *OPENERS), one_of("sig", *CLOSERS)
     run = F.sum(F.when(is_open, 1).when(is_close, -1).otherwise(0)).over(
         by_pos.rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -89,12 +94,12 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
         F.lead("sig", 1, "").over(by_pos).alias("next"),
         F.lead("sig", 2, "").over(by_pos).alias("next2"),
         _struct_before(
-            F.col("sig").isin("class", "interface", ";", "{", "}", ")", "=>", "=", "return"), F.col("sig"), by_pos
+            one_of("sig", "class", "interface", ";", "{", "}", ")", "=>", "=", "return"), F.col("sig"), by_pos
         ).alias("decl"),
         run.alias("run"),
     )
     ends_here = (F.col("next") == "") | (
-        F.col("nl") & ~F.col("sig").isin(*OPEN_ENDED) & ~F.col("next").isin(*CONTINUES) & ~F.col("next").startswith("`")
+        F.col("nl") & ~one_of("sig", *OPEN_ENDED) & ~one_of("next", *CONTINUES) & ~F.col("next").startswith("`")
     )
     u = (
         u.withColumn("is_open", is_open)
@@ -107,8 +112,8 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
         F.col("is_open")
         | F.col("is_close")
         | F.col("asi")
-        | F.col("sig").isin("=>", ";", ",", *STATEMENT_WORDS)
-        | (F.col("ts") & F.col("sig").isin("type", ":"))
+        | one_of("sig", "=>", ";", ",", *STATEMENT_WORDS)
+        | (F.col("ts") & one_of("sig", "type", ":"))
     )
     u = u.where(keep if names is None else keep | names)
 
@@ -116,15 +121,15 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
     inner = Window.partitionBy(*k, "inner")
     name_like = (
         F.col("prev").rlike(r"^[#A-Za-z_$\u0080-￿\"'0-9]")
-        & ~F.col("prev").isin(*NOT_CALLABLE)
-        & ~F.col("prev2").isin(".", "?.", "extends", "new")
-    ) | F.col("prev").isin("*", "]", ">")
+        & ~one_of("prev", *NOT_CALLABLE)
+        & ~one_of("prev2", ".", "?.", "extends", "new")
+    ) | one_of("prev", "*", "]", ">")
     callee = F.when(F.col("sig") == "(", name_like).otherwise(False)
     kind = (
         F.when(F.col("sig") != "{", F.lit(None).cast("string"))
-        .when(F.col("prev").isin("import", "export") | (F.col("prev3") == "import"), "specifiers")
-        .when(F.col("decl").isin("class", "interface"), "class")
-        .when(F.col("prev").isin(*VALUE_BEFORE_BRACE), "object")
+        .when(one_of("prev", "import", "export") | (F.col("prev3") == "import"), "specifiers")
+        .when(one_of("decl", "class", "interface"), "class")
+        .when(one_of("prev", *VALUE_BEFORE_BRACE), "object")
         .otherwise("block")
     )
     opener = F.struct(
@@ -138,8 +143,8 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
     # Expression ends: a separator at the same depth, the end of a line that closes it, or the closer around.
     outer = Window.partitionBy(*k, "outer")
     ahead = outer.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    sep = F.when(F.col("sig").isin(";", ","), F.col("pos") - 1).when(F.col("asi"), F.col("pos"))
-    starts_next = F.col("sig").isin("function", "class", "interface", "export", *DECLARATORS)
+    sep = F.when(one_of("sig", ";", ","), F.col("pos") - 1).when(F.col("asi"), F.col("pos"))
+    starts_next = one_of("sig", "function", "class", "interface", "export", *DECLARATORS)
     semi = F.when((F.col("sig") == ";") | starts_next, F.col("pos") - 1).when(F.col("asi"), F.col("pos"))
     u = u.withColumn("stop_sep", F.last(sep, ignorenulls=True).over(ahead)).withColumn(
         "stop_semi", F.last(semi, ignorenulls=True).over(ahead)
@@ -150,7 +155,7 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
     # The last statement word or closing parenthesis at the depth of the unit.
     returns = (F.col("sig") == ")") & (F.col("next") == ":") & F.col("encl.callee")
     word = (
-        F.when(F.col("sig").isin(*STATEMENT_WORDS, ";"), F.col("sig"))
+        F.when(one_of("sig", *STATEMENT_WORDS, ";"), F.col("sig"))
         .when(returns, "returns")
         .when(F.col("sig") == ")", ")")
         .when(F.col("asi"), ";")
@@ -174,7 +179,7 @@ def spans(u: DataFrame, key: Sequence[str] = KEY, bodies: bool = True, tables: b
 
     # Interfaces and type aliases are shapes: nothing inside them is code.
     shape = F.when((sig == "{") & (F.col("decl") == "interface"), F.col("close.pos")).when(
-        F.col("ts") & (sig == "type") & F.col("next2").isin("=", "<"), F.col("stop")
+        F.col("ts") & (sig == "type") & one_of("next2", "=", "<"), F.col("stop")
     )
     u = u.withColumn("shape", F.coalesce(F.max(shape).over(before) >= F.col("pos"), F.lit(False)))
 
@@ -185,30 +190,30 @@ def spans(u: DataFrame, key: Sequence[str] = KEY, bodies: bool = True, tables: b
         & (prev == ")")
         & (F.col("prev_open.prev") == ":")
         & (
-            F.col("prev_open.prev3").isin("(", *DECLARATORS, "private", "public", "protected", "readonly")
+            one_of("prev_open.prev3", "(", *DECLARATORS, "private", "public", "protected", "readonly")
             | (F.col("prev_open.prev2") == "?")
         )
     )
     returns = (
         F.col("ts")
         & (F.col("mark.word") == "returns")
-        & ~prev.isin(*VALUE_BEFORE_BRACE)
-        & ~prev.isin(")", "=>", ">=")
+        & ~one_of("prev", *VALUE_BEFORE_BRACE)
+        & ~one_of("prev", ")", "=>", ">=")
     )
     opens_body = (sig == "{") & ((prev == "=>") | ((prev == ")") & F.col("prev_callee")) | returns)
     body = opens_body & ((end > F.col("pos") + 1) | F.col("gap"))
     expression = (sig == "=>") & (F.col("next") != "{") & (F.col("next") != "") & ~F.coalesce(type_arrow, F.lit(False))
 
-    declared = F.col("prev3").isin(*DECLARATORS) | ((F.col("prev3") == ",") & F.col("mark.word").isin(*DECLARATORS))
+    declared = one_of("prev3", *DECLARATORS) | ((F.col("prev3") == ",") & one_of("mark.word", *DECLARATORS))
     plain_name = declared & constant_table_name(F.col("prev2"))
     typed_name = (
         F.col("ts")
-        & F.col("mark.word").isin(*DECLARATORS)
+        & one_of("mark.word", *DECLARATORS)
         & (F.col("mark.next2") == ":")
         & constant_table_name(F.col("mark.next"))
     )
-    whole = F.col("close.next").isin(";", ",", ")", "}", "") | F.col("close.asi")
-    table = sig.isin("{", "[") & (prev == "=") & (plain_name | typed_name) & whole
+    whole = one_of("close.next", ";", ",", ")", "}", "") | F.col("close.asi")
+    table = one_of("sig", "{", "[") & (prev == "=") & (plain_name | typed_name) & whole
 
     a = F.lit(None).cast("struct<a:int,b:int,kind:string>")
     if tables:
@@ -246,20 +251,20 @@ def js_definitions(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """``(key, ln, pos, nth, kind, name, depth)`` of functions, classes and variables at any depth."""
     k = list(key)
     is_name = F.col("sig").rlike(r"^[A-Za-z_$\u0080-\uffff]")
-    introduced = F.col("prev").isin("function", "class", *DECLARATORS, ",") | (
+    introduced = one_of("prev", "function", "class", *DECLARATORS, ",") | (
         (F.col("prev") == "*") & (F.col("prev2") == "function")
     )
     u = structure(corpus.select(*k, "text"), key, names=is_name & introduced).where(is_name & introduced)
     more = (
         (F.col("prev") == ",")
-        & F.col("mark.word").isin(*DECLARATORS)
-        & F.col("next").isin("=", ",", ";", "", ":")
+        & one_of("mark.word", *DECLARATORS)
+        & one_of("next", "=", ",", ";", "", ":")
         & (F.coalesce(F.col("encl.pos"), F.lit(-1)) < F.col("mark_pos"))
     )
     kind = (
         F.when(F.col("prev") == "class", "class")
-        .when(F.col("prev").isin("function", "*"), "function")
-        .when(F.col("prev").isin(*DECLARATORS) | more, "constant")
+        .when(one_of("prev", "function", "*"), "function")
+        .when(one_of("prev", *DECLARATORS) | more, "constant")
     )
     return u.withColumn("kind", kind).where("kind IS NOT NULL").select(
         *k,
@@ -281,9 +286,7 @@ def reference_units(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     sig, prev, nxt = F.col("sig"), F.col("prev"), F.col("next")
     u = structure(corpus.select(*k, "text"), key, names=sig.startswith("_")).where(sig.startswith("_"))
     kind = F.col("encl.kind")
-    in_object = F.coalesce(kind == "object", F.lit(False)) & prev.isin("{", ",", "get", "set", "async", "*")
-    in_class = F.coalesce(kind == "class", F.lit(False)) & ~prev.isin(
-        "=", "(", "[", "extends", "new", "?", "+", "-", "&&", "||", "??", "!", ":", "<", "|", "&", "implements", "..."
-    ) & nxt.isin("(", "=", ":", ";", "?", "!", "}", "")
-    keep = prev.isin(".", "?.") | in_object | in_class
+    in_object = F.coalesce(kind == "object", F.lit(False)) & one_of("prev", "{", ",", "get", "set", "async", "*")
+    in_class = F.coalesce(kind == "class", F.lit(False)) & ~one_of("prev", "=", "(", "[", "extends", "new", "?", "+", "-", "&&", "||", "??", "!", ":", "<", "|", "&", "implements", "...") & one_of("next", "(", "=", ":", ";", "?", "!", "}", "")
+    keep = one_of("prev", ".", "?.") | in_object | in_class
     return u.where(~keep).select(*k, "pos", "sig")

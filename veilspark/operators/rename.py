@@ -37,7 +37,7 @@ def protect_names(names: DataFrame, keep: Iterable[str], name: str = "name") ->
 def renamable(corpus: DataFrame) -> DataFrame:
     """Rows that a rename may touch: a supported language, readable, and for Python with matching brackets."""
     routed = route_files(corpus)
-    python_error = F.when(F.col("route") == "python", bracket_error(F.col("text"), F.lit(True)))
+    python_error = F.when(F.col("route") == "python", bracket_error(F.col("text"), True))
     ok = (F.col("route") != "unsupported") & F.col("text").isNotNull() & python_error.isNull()
     return routed.withColumn("transformed", ok)
 

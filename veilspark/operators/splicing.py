@@ -34,10 +34,14 @@ def by_key(corpus: DataFrame, key: Sequence[str] = KEY, clustered: bool = False)
     """Place each text by its key before it is cut up: the shuffle moves the text once, not its tokens.
 
     ``clustered`` is for a corpus that already is partitioned so (a bucketed table, an earlier ``by_key``).
-    The key is made non-null, which lets both branches of a plan share this exchange.
+    The key is made non-null, which lets both branches of a plan share this exchange. The partition count is
+    the session's, given explicitly: adaptive execution would merge partitions by their compressed text,
+    which says little about the token rows that come out of it.
     """
     keyed = corpus.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in key})
-    return keyed if clustered else keyed.repartition(*key)
+    if clustered:
+        return keyed
+    return keyed.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def splice(units: Column, edits: Column, lexer: Lexer) -> Column:

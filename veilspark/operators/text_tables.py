@@ -54,33 +54,40 @@ def nesting(toks: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return leveled.withColumn("close_pos", F.when(F.col("tok").isin(*OPENERS), closer))
 
 
-def bracket_balance(text: Column, is_python: Column) -> Column:
-    """Struct of the lowest and the last bracket depth, folded inside the row."""
+def _fold_brackets(text: Column, is_python: bool, finish) -> Column:
+    """Run over the brackets of a text, inside the row, keeping the lowest and the last depth."""
+    pattern = PY_BRACKET if is_python else JS_BRACKET
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def fold(pattern: str) -> Column:
-        marks = F.filter(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: t.isin(*OPENERS, *CLOSERS)
-        )
+    def step(acc: Column, t: Column) -> Column:
+        # Strings and comments are matched as well and leave the depth as it is.
+        last = acc["last"] + F.when(t.isin(*OPENERS), 1).when(t.isin(*CLOSERS), -1).otherwise(0)
+        return F.struct(F.least(acc["low"], last).alias("low"), last.alias("last"))
 
-        def step(acc: Column, t: Column) -> Column:
-            last = acc["last"] + F.when(t.isin(*OPENERS), 1).otherwise(-1)
-            return F.struct(F.least(acc["low"], last).alias("low"), last.alias("last"))
+    return F.aggregate(found, F.struct(F.lit(0).alias("low"), F.lit(0).alias("last")), step, finish)
 
-        return F.aggregate(marks, F.struct(F.lit(0).alias("low"), F.lit(0).alias("last")), step)
 
-    return F.when(is_python, fold(PY_BRACKET)).otherwise(fold(JS_BRACKET))
+def bracket_balance(text: Column, is_python: bool) -> Column:
+    """Struct of the lowest and the last bracket depth."""
+    return _fold_brackets(text, is_python, lambda acc: acc)
 
 
-def bracket_error(text: Column, is_python: Column) -> Column:
+def bracket_error(text: Column, is_python: bool) -> Column:
     """'unbalanced brackets', or null. A null text has no error."""
-    balance = bracket_balance(text, is_python)
-    return F.when((balance["low"] < 0) | (balance["last"] != 0), F.lit("unbalanced brackets"))
+    return _fold_brackets(
+        text,
+        is_python,
+        lambda acc: F.when((acc["low"] < 0) | (acc["last"] != 0), F.lit("unbalanced brackets")),
+    )
 
 
 def unbalanced_files(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """``(path, low, last, error)`` of the texts whose brackets do not match. No shuffle."""
-    is_python = F.coalesce(language(F.col("path")) == "python", F.lit(False))
-    balance = corpus.select(*key, bracket_balance(F.col("text"), is_python).alias("b"))
+    text = F.col("text")
+    both = F.when(language(F.col("path")) == "python", bracket_balance(text, True)).otherwise(
+        bracket_balance(text, False)
+    )
+    balance = corpus.select(*key, both.alias("b"))
     return balance.where("b.low < 0 OR b.last <> 0").select(
         *key,
         F.col("b.low").cast("bigint").alias("low"),

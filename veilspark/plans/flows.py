@@ -37,8 +37,8 @@ def scan(corpus: DataFrame, rules: Sequence[Rule] = (), ignore: Iterable[str] =
 def context(corpus: DataFrame, by: str | None = None, strict: bool = False, ignore: Iterable[str] = ()) -> DataFrame:
     """Ordered parts of the redacted document(s)."""
     key = [by, "path"] if by else ["path"]
-    view = redact_file(exclude_paths(corpus, ignore), strict, key=key)
-    return context_document(view, by, strict)
+    kept = exclude_paths(corpus, ignore)
+    return context_document(redact_file(kept, strict, key=key), by, strict, listing=kept)
 
 
 def diff(corpus: DataFrame, strict: bool = False, ignore: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:

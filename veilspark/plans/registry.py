@@ -1,0 +1,414 @@
+"""One query per operator, over whole given tables."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.functions.text import constant_table_name, private_name, redact_preview, register_sql_functions
+from veilspark.operators import context as ctx
+from veilspark.operators import diff, files, manifest, policies, rename, scan, text_tables
+from veilspark.operators.splicing import by_key
+from veilspark.plans import flows
+from veilspark.plans import inputs as inp
+from veilspark.rules import check_rules
+from veilspark.session import ensure_checkpoint_dir
+from veilspark.sources import corpus as src
+from veilspark.streaming.scan_stream import scan_stream as stream_scan
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint location."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# --- sources and sinks
+
+
+def read_corpus(spark, sf):
+    files_ = src.read_corpus(spark, sf, where=F.col("path").endswith(".parquet"))
+    named = files_.withColumn("path", F.regexp_extract("path", r"[^/]+$", 0))
+    return manifest.hash_files(named).join(named.select("path", "length"), "path")
+
+
+def corpus_from_table(spark, sf):
+    return inp.conversations(spark, sf)
+
+
+def decode_utf8(spark, sf):
+    raw = F.col("text").cast("binary")
+    broken = F.when(F.col("lang") == "fr", F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    df = inp.documents(spark, sf, "lang").select("path", broken.alias("content"))
+    return src.decode_utf8(df).select("path", "decodable", "text")
+
+
+def write_findings(spark, sf):
+    out = _fresh(spark, "findings")
+    src.write_findings(scan.scan_rules(inp.documents(spark, sf), inp.RULES), out)
+    schema = "severity string, path string, line bigint, rule_id string, redacted_preview string, suggested_action string"
+    return spark.read.schema(schema).json(out)
+
+
+def write_corpus(spark, sf):
+    out = _fresh(spark, "corpus")
+    src.write_corpus(files.with_language(inp.code_files(spark, sf)), out)
+    return spark.read.parquet(out)
+
+
+def write_manifest(spark, sf):
+    out = _fresh(spark, "manifest")
+    code = inp.code_files(spark, sf)
+    record = manifest.manifest(code, code, rename.rename_map(rename.private_definitions(code)), "version: 1")
+    src.write_manifest(record, out)
+    back = spark.read.schema("section string, name string, value string").json(out)
+    return back.where("name <> 'generated_at'")
+
+
+def write_context(spark, sf):
+    """Written files keep the order of the parts: neighbouring lines are compared by the test, content here."""
+    out = _fresh(spark, "context")
+    src.write_context(_parts(spark, sf), out, "repo")
+    return spark.read.text(out).select("repo", F.col("value").alias("line"))
+
+
+# --- projections and predicates
+
+
+def exclude_paths(spark, sf):
+    return files.exclude_paths(inp.repo_files(spark, sf), inp.IGNORE_LINES, "rel")
+
+
+def with_language(spark, sf):
+    return files.with_language(inp.repo_paths(spark, sf))
+
+
+def route_files(spark, sf):
+    return files.route_files(inp.repo_paths(spark, sf)).select("path", "route")
+
+
+def relative_path(spark, sf):
+    return files.relative_path(inp.repo_paths(spark, sf), "repo1")
+
+
+def constant_names(spark, sf):
+    names = text_tables.tokens(inp.code_files(spark, sf)).where(constant_table_name("tok"))
+    return names.groupBy("tok").agg(F.count("*").alias("uses"))
+
+
+def private_names(spark, sf):
+    toks = files.with_language(text_tables.tokens(inp.code_files(spark, sf)))
+    return toks.where(private_name("tok", "language")).groupBy("path", "tok").agg(F.count("*").alias("uses"))
+
+
+def protect_names(spark, sf):
+    names = rename.definitions(inp.code_files(spark, sf)).select("path", "name")
+    return rename.protect_names(names, inp.KEEP_NAMES)
+
+
+def valid_rules(spark, sf):
+    ok, _ = check_rules(spark, [*inp.RULES, inp.BAD_RULE])
+    found = scan.scan_rules(inp.documents(spark, sf), ok)
+    return found.groupBy("rule_id").agg(F.count("*").alias("matches"))
+
+
+def tag_sensitive_paths(spark, sf):
+    return files.tag_sensitive_paths(inp.repo_files(spark, sf), inp.SENSITIVE_GLOBS, "rel")
+
+
+def allow_matches(spark, sf):
+    """Values seen in one trusted source are allowed everywhere."""
+    docs = inp.documents(spark, sf, "source")
+    matches = scan.rule_matches(docs, inp.RULES)
+    allow = scan.rule_matches(docs.where("source = 'src1'"), inp.RULES).select("value")
+    left = scan.allow_matches(matches, allow)
+    return scan.to_findings(left, F.lit("review")).drop("suggested_action")
+
+
+# --- text tables
+
+
+def lines(spark, sf):
+    return text_tables.lines(inp.documents(spark, sf))
+
+
+def tokens(spark, sf):
+    return text_tables.tokens(inp.code_files(spark, sf))
+
+
+def nesting(spark, sf):
+    return text_tables.nesting(text_tables.tokens(by_key(inp.code_files(spark, sf))))
+
+
+def unbalanced_files(spark, sf):
+    return text_tables.unbalanced_files(inp.broken_files(spark, sf))
+
+
+def definitions(spark, sf):
+    return rename.definitions(inp.code_files(spark, sf)).select("path", "ln", "kind", "name", "depth")
+
+
+# --- scan
+
+
+def scan_rules(spark, sf):
+    return scan.scan_rules(inp.documents(spark, sf), inp.RULES)
+
+
+def scan_builtin(spark, sf):
+    return scan.scan_builtin(inp.documents(spark, sf))
+
+
+def scan_entropy(spark, sf):
+    found = scan.entropy_matches(inp.documents(spark, sf))
+    return found.select(
+        "path", "line", "rule_id", redact_preview("value").alias("preview"), F.round("entropy", 4).alias("entropy")
+    )
+
+
+def dedupe_builtin(spark, sf):
+    once = scan.dedupe_builtin(scan.builtin_matches(inp.documents(spark, sf)))
+    return once.select("path", "rule_id", "line", redact_preview("value").alias("preview"))
+
+
+def redact_preview_sql(spark, sf):
+    """The SQL form of the preview, over every word that could be a key."""
+    register_sql_functions(spark)
+    words = inp.documents(spark, sf).select(
+        "path", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("pos", "word")
+    )
+    return words.select("path", F.col("pos").cast("bigint").alias("pos"), F.expr("redact_preview(word)").alias("preview"))
+
+
+def findings(spark, sf):
+    return scan.findings(inp.documents(spark, sf), inp.RULES, entropy=False)
+
+
+def scan_summary(spark, sf):
+    docs = inp.documents(spark, sf)
+    return scan.scan_summary(docs, scan.findings(docs, inp.RULES, entropy=False, ordered=False))
+
+
+def clean_rows(spark, sf):
+    docs = inp.documents(spark, sf)
+    kept = scan.clean_rows(docs, scan.findings(docs, inp.RULES, entropy=False, ordered=False))
+    return kept.select("path", F.octet_length("text").cast("bigint").alias("bytes"))
+
+
+def rule_clean_rows(spark, sf):
+    return scan.rule_clean_rows(inp.documents(spark, sf), inp.RULES).select("path")
+
+
+def mask_text(spark, sf):
+    return scan.mask_text(inp.documents(spark, sf), inp.RULES)
+
+
+def mask_preview(spark, sf):
+    return scan.mask_text(inp.documents(spark, sf), inp.RULES, "preview")
+
+
+def scan_stream(spark, sf):
+    schema = inp.table(spark, sf, "documents").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    out = _fresh(spark, "stream")
+    query = stream_scan(src.corpus_from_table(stream, "doc_id"), inp.RULES, out, _fresh(spark, "stream-state"))
+    query.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+def nearest_policy(spark, sf):
+    """Every third repository has a policy, and some have one for src/pricing as well."""
+    repos = inp.table(spark, sf, "orders").select("o_custkey").distinct()
+    top = repos.where("o_custkey % 3 = 0").selectExpr(
+        "concat('repo', CAST(o_custkey AS string)) AS policy_dir", "concat('top', CAST(o_custkey AS string)) AS policy"
+    )
+    deep = repos.where("o_custkey % 5 = 0").selectExpr(
+        "concat('repo', CAST(o_custkey AS string), '/src/pricing') AS policy_dir",
+        "concat('deep', CAST(o_custkey AS string)) AS policy",
+    )
+    return policies.nearest_policy(inp.repo_paths(spark, sf), top.unionByName(deep))
+
+
+# --- redacted views
+
+
+def redact_indented_bodies(spark, sf):
+    return ctx.redact_indented_bodies(inp.code_files(spark, sf))
+
+
+def redact_brace_bodies(spark, sf):
+    return ctx.redact_brace_bodies(inp.code_files(spark, sf))
+
+
+def redact_constant_tables(spark, sf):
+    return ctx.redact_constant_tables(inp.code_files(spark, sf))
+
+
+def strip_docstrings(spark, sf):
+    return ctx.strip_docstrings(inp.code_files(spark, sf))
+
+
+def alias_enums(spark, sf):
+    return ctx.alias_enums(inp.code_files(spark, sf))
+
+
+def redact_file(spark, sf):
+    return ctx.redact_file(inp.code_files(spark, sf)).select("path", "language", "route", "text", "error")
+
+
+def redact_file_strict(spark, sf):
+    return ctx.redact_file(inp.code_files(spark, sf), strict=True).select("path", "text")
+
+
+def file_tree(spark, sf):
+    return ctx.file_tree(inp.repo_files(spark, sf).withColumnRenamed("rel", "path"), "repo")
+
+
+def _parts(spark, sf):
+    return flows.context(inp.repo_code(spark, sf), "repo")
+
+
+def context_document(spark, sf):
+    return _parts(spark, sf).drop("seq")
+
+
+def document_text(spark, sf):
+    return ctx.document_text(_parts(spark, sf), "repo")
+
+
+def context_status(spark, sf):
+    return ctx.context_status(inp.code_files(spark, sf))
+
+
+# --- statistics
+
+
+def diff_files(spark, sf):
+    docs = inp.documents(spark, sf)
+    return diff.diff_files(docs, scan.mask_text(docs, inp.RULES))
+
+
+def diff_counts(spark, sf):
+    return diff.diff_counts(inp.code_files(spark, sf), strict=True)
+
+
+def diff_context(spark, sf):
+    return diff.diff_context(inp.code_files(spark, sf))
+
+
+def marker_counts(spark, sf):
+    js = inp.code_files(spark, sf).where(F.col("path").endswith(".js"))
+    return diff.marker_counts(ctx.redact_constant_tables(ctx.redact_brace_bodies(js)))
+
+
+def js_table_count(spark, sf):
+    return diff.js_table_count(inp.code_files(spark, sf))
+
+
+def diff_totals(spark, sf):
+    return diff.diff_totals(diff.diff_context(inp.broken_files(spark, sf)))
+
+
+# --- renaming and manifest
+
+
+def _renames(spark, sf):
+    return rename.rename_map(rename.private_definitions(inp.code_files(spark, sf), inp.KEEP_NAMES))
+
+
+def private_definitions(spark, sf):
+    return rename.private_definitions(inp.code_files(spark, sf)).select("path", "name")
+
+
+def rename_map(spark, sf):
+    return _renames(spark, sf)
+
+
+def apply_renames(spark, sf):
+    return rename.apply_renames(inp.code_files(spark, sf), _renames(spark, sf))
+
+
+def pseudonymize(spark, sf):
+    return rename.pseudonymize(inp.documents(spark, sf), inp.RULES[:2])[0]
+
+
+def pseudonym_map(spark, sf):
+    return rename.pseudonymize(inp.documents(spark, sf), inp.RULES[:2])[1]
+
+
+def hash_files(spark, sf):
+    return manifest.hash_files(inp.documents(spark, sf))
+
+
+def rename_entries(spark, sf):
+    return rename.rename_entries(_renames(spark, sf))
+
+
+def transform_counts(spark, sf):
+    return rename.transform_counts(inp.broken_files(spark, sf), _renames(spark, sf))
+
+
+def build_manifest(spark, sf):
+    code = inp.code_files(spark, sf)
+    renames = _stored(spark, _renames(spark, sf), "renames")
+    record = manifest.manifest(code, rename.apply_renames(code, renames), renames)
+    return record.where("name <> 'generated_at'")
+
+
+def verify_manifest(spark, sf):
+    """A manifest of the plain corpus checked against the corpus with broken files."""
+    code = inp.code_files(spark, sf)
+    none = spark.createDataFrame([], "path string, original string, renamed string")
+    return manifest.verify_manifest(manifest.manifest(code, code, none), inp.broken_files(spark, sf))
+
+
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A frame that several plans read, written once."""
+    out = _fresh(spark, name)
+    df.write.parquet(out)
+    return spark.read.parquet(out)
+
+
+def verify_output(spark, sf):
+    """The gate runs over the written output, as it would before a hand-over."""
+    code = inp.code_files(spark, sf)
+    renames = _stored(spark, _renames(spark, sf), "renames")
+    output = _stored(spark, rename.apply_renames(code, renames), "output")
+    return manifest.verify_output(code, output, renames, inp.RULES)
+
+
+def passthrough(spark, sf):
+    code = inp.code_files(spark, sf)
+    only_js = ctx.redact_brace_bodies(code.where(F.col("path").endswith(".js")))
+    return rename.passthrough(code, only_js)
+
+
+def project_profile(spark, sf):
+    profile = policies.project_profile(inp.repo_files(spark, sf))
+    return profile.withColumn("src_dirs", F.array_join("src_dirs", ","))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        read_corpus, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
+        exclude_paths, with_language, route_files, relative_path, protect_names, valid_rules,
+        tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, definitions, scan_rules,
+        scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, mask_text,
+        mask_preview, scan_stream, nearest_policy, redact_indented_bodies, redact_brace_bodies,
+        redact_constant_tables, strip_docstrings, alias_enums, redact_file, redact_file_strict, file_tree,
+        context_document, document_text, context_status, diff_files, diff_counts, diff_context, marker_counts,
+        js_table_count, diff_totals, private_definitions, rename_map, apply_renames, pseudonymize, pseudonym_map,
+        hash_files, rename_entries, transform_counts, verify_manifest, verify_output, passthrough, project_profile,
+    )
+}
+QUERIES |= {
+    "constant_table_name": constant_names,
+    "private_name": private_names,
+    "redact_preview": redact_preview_sql,
+    "manifest": build_manifest,
+}

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.session import ensure_checkpoint_dir
+from veilspark.sources.file_io import list_children, open_fs, read_bytes
 
-_BATCH_BYTES = 32 << 20
 _LISTING_SCHEMA = "path string, is_dir boolean, length bigint"
 
 
@@ -21,61 +20,6 @@ def corpus_from_table(df: DataFrame, id: str | Sequence[str], text: str = "text"
     return df.select(path.alias("path"), F.col(text).alias("text"), *keep)
 
 
-def _open_fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One directory level; names leave the task in small batches."""
-    from pyarrow import fs
-
-    for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            store, inner = _open_fs(uri)
-            prefix = uri[: len(uri) - len(inner)] if uri.endswith(inner) else ""
-            infos = store.get_file_info(fs.FileSelector(inner, recursive=False))
-            infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
-            for start in range(0, len(infos), 10_000):
-                part = infos[start : start + 10_000]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "path": [prefix + i.path for i in part],
-                        "is_dir": [i.type == fs.FileType.Directory for i in part],
-                        "length": pa.array([i.size for i in part], pa.int64()),
-                    }
-                )
-
-
-def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """File contents; a batch is handed over when it holds enough bytes."""
-
-    def flush(paths, contents, lengths):
-        return pa.RecordBatch.from_pydict(
-            {"path": paths, "content": pa.array(contents, pa.binary()), "length": pa.array(lengths, pa.int64())}
-        )
-
-    paths, contents, lengths, held = [], [], [], 0
-    for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            store, inner = _open_fs(uri)
-            try:
-                with store.open_input_stream(inner) as f:
-                    data = f.read()
-            except OSError:
-                data = None  # unreadable: kept as a row without content
-            paths.append(uri)
-            contents.append(data)
-            lengths.append(None if data is None else len(data))
-            held += len(data or b"")
-            if held >= _BATCH_BYTES:
-                yield flush(paths, contents, lengths)
-                paths, contents, lengths, held = [], [], [], 0
-    if paths:
-        yield flush(paths, contents, lengths)
-
-
 def list_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
     """``(path, length)`` of every regular file below ``root``, hidden files included.
 
@@ -84,7 +28,7 @@ def list_files(spark: SparkSession, root: str, partitions: int | None = None) ->
     """
     from pyarrow import fs
 
-    store, inner = _open_fs(root)
+    store, inner = open_fs(root)
     info = store.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(root)
@@ -95,7 +39,7 @@ def list_files(spark: SparkSession, root: str, partitions: int | None = None) ->
     level = spark.createDataFrame([(root.rstrip("/"),)], "path string")
     files: DataFrame | None = None
     while True:
-        listed = level.repartition(n, "path").mapInArrow(_list_children, _LISTING_SCHEMA).checkpoint()
+        listed = level.repartition(n, "path").mapInArrow(list_children, _LISTING_SCHEMA).checkpoint()
         found = listed.where(~F.col("is_dir")).select("path", "length")
         files = found if files is None else files.unionByName(found)
         level = listed.where("is_dir").select("path")
@@ -124,7 +68,7 @@ def read_corpus(
     if where is not None:
         paths = paths.where(where)
     n = partitions or spark.sparkContext.defaultParallelism
-    return paths.repartition(n, "path").mapInArrow(_read_bytes, "path string, content binary, length bigint")
+    return paths.repartition(n, "path").mapInArrow(read_bytes, "path string, content binary, length bigint")
 
 
 def decode_utf8(df: DataFrame, content: str = "content") -> DataFrame:
