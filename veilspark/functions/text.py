@@ -70,9 +70,9 @@ def line_count(text: Column | str) -> Column:
 
 def split_lines(text: Column | str) -> Column:
     """Array of line bodies; a terminator at the end does not open another line."""
-    parts = F.split(_col(text), LINE_BREAK, -1)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+    t = _col(text)
+    inner = F.regexp_replace(t, "(?:" + LINE_BREAK + r")\z", "")
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(inner, LINE_BREAK, -1))
 
 
 def reduction_pct(before: Column, after: Column) -> Column:

@@ -101,12 +101,14 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
     ends_here = (F.col("next") == "") | (
         F.col("nl") & ~one_of("sig", *OPEN_ENDED) & ~one_of("next", *CONTINUES) & ~F.col("next").startswith("`")
     )
-    u = (
-        u.withColumn("is_open", is_open)
-        .withColumn("is_close", is_close)
-        .withColumn("inner", F.col("run") + F.when(is_close, 1).otherwise(0))
-        .withColumn("outer", F.col("run") - F.when(is_open, 1).otherwise(0))
-        .withColumn("asi", ends_here)
+    u = u.withColumns(
+        {
+            "is_open": is_open,
+            "is_close": is_close,
+            "inner": F.col("run") + F.when(is_close, 1).otherwise(0),
+            "outer": F.col("run") - F.when(is_open, 1).otherwise(0),
+            "asi": ends_here,
+        }
     )
     keep = (
         F.col("is_open")

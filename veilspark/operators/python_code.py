@@ -100,13 +100,11 @@ def _header(text: Column) -> Column:
     return F.aggregate(pieces, start, step)["out"]
 
 
-def statements(corpus: DataFrame, key: Sequence[str] = KEY, enums: bool = False) -> DataFrame:
-    """One row per logical statement with its block relations.
+def logical_lines(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """One row per logical statement: ``sid, ln, text, code, indent, is_def, is_class, is_string``.
 
     ``sid`` counts statements from 1 (0 holds leading blank and comment lines); blank and comment lines
-    belong to the statement before them. ``end_sid`` of a ``def`` or ``class`` is the first statement after
-    its block. A statement that dedents closes the header levels it passes, so each level sees its own
-    closings in order and the end of a block is the next row of its level.
+    belong to the statement before them. ``code`` has comments removed and strings reduced to a quote.
     """
     k = list(key)
     chunks = corpus.select(
@@ -133,22 +131,37 @@ def statements(corpus: DataFrame, key: Sequence[str] = KEY, enums: bool = False)
     )
     blank = F.regexp_replace(F.regexp_extract("code", r"^[ \t]*", 0), "\t", " " * 8)
     real = F.col("sid") > 0
-    stmts = (
-        stmts.withColumn("indent", F.when(real, F.length(blank)))
-        .withColumn("is_def", real & F.col("code").rlike(_DEF))
-        .withColumn("is_class", real & F.col("code").rlike(_CLASS))
-        .withColumn("is_string", real & F.col("code").rlike(_STRING_EXPR))
+    return stmts.withColumns(
+        {
+            "indent": F.when(real, F.length(blank)),
+            "is_def": real & F.col("code").rlike(_DEF),
+            "is_class": real & F.col("code").rlike(_CLASS),
+            "is_string": real & F.col("code").rlike(_STRING_EXPR),
+        }
     )
+
+
+def statements(corpus: DataFrame, key: Sequence[str] = KEY, enums: bool = False) -> DataFrame:
+    """Logical statements with their block relations.
+
+    ``end_sid`` of a ``def`` or ``class`` is the first statement after its block. A statement that dedents
+    closes the header levels it passes, so each level sees its own closings in order and the end of a block
+    is the next row of its level.
+    """
+    k = list(key)
+    stmts = logical_lines(corpus, key)
     by_sid = Window.partitionBy(*k).orderBy("sid")
     earlier = by_sid.rowsBetween(Window.unboundedPreceding, -1)
     header = F.col("is_def") | F.col("is_class")
     levels = F.collect_set(F.when(header, F.col("indent"))).over(Window.partitionBy(*k))
-    stmts = (
-        stmts.withColumn("prev_indent", F.lag("indent").over(by_sid))
-        .withColumn("next_indent", F.lead("indent").over(by_sid))
-        .withColumn("prev_def", F.coalesce(F.lag("is_def").over(by_sid), F.lit(False)))
-        .withColumn("prev_class", F.coalesce(F.lag("is_class").over(by_sid), F.lit(False)))
-        .withColumn("levels", levels)
+    stmts = stmts.withColumns(
+        {
+            "prev_indent": F.lag("indent").over(by_sid),
+            "next_indent": F.lead("indent").over(by_sid),
+            "prev_def": F.coalesce(F.lag("is_def").over(by_sid), F.lit(False)),
+            "prev_class": F.coalesce(F.lag("is_class").over(by_sid), F.lit(False)),
+            "levels": levels,
+        }
     )
     passed = F.filter("levels", lambda v: (v >= F.col("indent")) & (v <= F.col("prev_indent")))
     own = F.when(header, F.array("indent")).otherwise(F.expr("array()").cast("array<int>"))
@@ -274,7 +287,7 @@ def python_definitions(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame
 
     ``pos`` is the statement number, ``nth`` the place within a chained assignment, ``depth`` the indent.
     """
-    s = statements(corpus, key)
+    s = logical_lines(corpus, key)
     code = F.col("code")
     assigned = F.regexp_extract("code", _ASSIGN, 1)
     annotated = F.regexp_extract("code", _ANNOTATED, 1)

@@ -395,7 +395,7 @@ ORACLES["diff_context"] = (
 )
 # Brackets appended to a JS text stay in its view; a Python text with them is an error and is left out.
 ORACLES["diff_totals"] = (
-    f"{VIEW}, {BROKEN}, z AS (SELECT b.path, b.path LIKE '%.py' AND p_size > 30 AS err, b.path LIKE '%.py' AS py, CAST(strlen(b.text) AS BIGINT) AS before, "
+    f"{VIEW}, {BROKEN}, z AS (SELECT b.path, b.path LIKE '%.py' AND b.p_size > 30 AS err, b.path LIKE '%.py' AS py, CAST(strlen(b.text) AS BIGINT) AS before, "
     "CAST(strlen(v.text) + strlen(b.text) - strlen(c.text) AS BIGINT) AS after FROM broken b JOIN view v ON v.path = b.path JOIN code c ON c.path = b.path), "
     "s AS (SELECT count(*) AS files, count(*) FILTER (WHERE err) AS files_with_error, CAST(sum(before) FILTER (WHERE NOT err) AS BIGINT) AS bytes_before, "
     "CAST(sum(after) FILTER (WHERE NOT err) AS BIGINT) AS bytes_after, CAST(sum(CASE WHEN py THEN 2 ELSE 4 END) FILTER (WHERE NOT err) AS BIGINT) AS function_bodies_redacted, "

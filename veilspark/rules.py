@@ -50,6 +50,18 @@ def java_pattern(pattern: str, unicode_classes: bool = True) -> str:
     return ("(?U)" + p) if needs_unicode else p
 
 
+def ignores_context(pattern: str) -> bool:
+    """Does a match depend on the matched characters alone?
+
+    True when the pattern has no anchors, boundaries, look-around, back-references, possessive or atomic
+    parts. Such a pattern matches a text whenever it matches one of its lines, so the whole text can be
+    tested first. Unsure cases give False.
+    """
+    p = re.sub(r"\\[^AzZbBGk0-9]", "x", pattern)
+    p = re.sub(r"\[\^?\]?[^\]]*\]", "x", p)
+    return not re.search(r"[\^$\\]|\(\?(?:[=!>]|<[=!])|[*+?}]\+", p)
+
+
 def rules_from_frame(rules: DataFrame, limit: int = 10_000) -> list[Rule]:
     """Read a rule table ``(id, pattern[, severity])``. Rules are configuration: an error above ``limit``."""
     sev = F.coalesce(F.col("severity"), F.lit("medium")) if "severity" in rules.columns else F.lit("medium")
