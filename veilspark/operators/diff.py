@@ -98,7 +98,7 @@ def diff_context(corpus: DataFrame, strict: bool = False, key: Sequence[str] = K
         line_count("text").alias("lines_before"),
         _js_tables(F.col("text")).alias("js_tables"),
     )
-    joined = after.join(before, k)
+    joined = after.join(before, k, "left")
     tables = F.coalesce("py_tables", "js_tables", F.lit(0)).cast("bigint")
     return _deltas(joined.withColumn(COUNTERS[1], tables)).select(
         *k,

@@ -339,7 +339,18 @@ ORACLES: dict[str, str] = {
     "transform_counts": f"{RENAMES} SELECT count(*) FILTER (WHERE p_partkey % 2 = 1 OR p_size <= 30) AS files_transformed, "
     "count(*) FILTER (WHERE p_partkey % 2 = 0 AND p_size > 30) AS files_copied, (SELECT count(*) FROM renames) AS renames FROM part",
     "verify_manifest": f"WITH {BROKEN} SELECT path, CASE WHEN p_size > 30 THEN 'changed' ELSE 'ok' END AS status FROM broken",
-    "verify_output": "SELECT * FROM (VALUES ('rows_preserved', CAST(0 AS BIGINT), TRUE), ('no_private_name', 0, TRUE), ('no_secret', 0, TRUE), ('brackets_balanced', 0, TRUE)) t(\"check\", failures, passed)",
+    "verify_output": f"{APPLIED}, rtok AS (SELECT path, unnest(range(len(t))) AS pos, unnest(t) AS tok FROM (SELECT path, "
+    f"CASE WHEN path LIKE '%.py' THEN regexp_extract_all(text, {_q(_TOKEN['py'])}) ELSE regexp_extract_all(text, {_q(_TOKEN['js'])}) END AS t FROM renamed)), "
+    "rsig AS (SELECT *, lag(tok) OVER (PARTITION BY path ORDER BY pos) AS prev FROM rtok), "
+    "gone AS (SELECT path, original FROM renames r WHERE NOT EXISTS (SELECT 1 FROM renames n WHERE n.path = r.path AND n.renamed = r.original)), "
+    "residual AS (SELECT count(*) AS n FROM rsig s JOIN gone g ON g.path = s.path AND g.original = s.tok WHERE coalesce(s.prev, '') <> '.'), "
+    f"secret AS (SELECT count(*) FILTER (WHERE {' OR '.join(f'regexp_matches(text, {_q(r.pattern)})' for r in RULES)}) AS n FROM renamed), "
+    f"off_before AS (SELECT count(*) AS n FROM (SELECT path FROM tok GROUP BY path HAVING sum(CASE WHEN {_OPEN} THEN 1 WHEN {_CLOSE} THEN -1 ELSE 0 END) <> 0)), "
+    f"off_after AS (SELECT count(*) AS n FROM (SELECT path FROM rtok GROUP BY path HAVING sum(CASE WHEN {_OPEN} THEN 1 WHEN {_CLOSE} THEN -1 ELSE 0 END) <> 0)), "
+    "res AS (SELECT 'rows_preserved' AS c, CAST(abs((SELECT count(*) FROM code) - (SELECT count(*) FROM renamed)) AS BIGINT) AS failures "
+    "UNION ALL SELECT 'no_private_name', n FROM residual UNION ALL SELECT 'no_secret', n FROM secret "
+    "UNION ALL SELECT 'brackets_balanced', greatest(0, (SELECT n FROM off_after) - (SELECT n FROM off_before))) "
+    "SELECT c AS \"check\", failures, failures = 0 AS passed FROM res",
     "hash_files": f"WITH {DOCS} SELECT path, sha256(text) AS sha256 FROM docs",
     "passthrough": f"WITH {CODE}, {_tokens()}, {NEST}, {JS_BODIES} SELECT path, text FROM js_out UNION ALL {PY_PLAIN}",
     "pseudonymize": f"{PSEUDO}, cells AS (SELECT path, unnest(range(len(pieces))) AS pos, unnest(pieces) AS piece FROM hit), "

@@ -302,7 +302,7 @@ def diff_context(spark, sf):
 
 def marker_counts(spark, sf):
     js = inp.code_files(spark, sf).where(F.col("path").endswith(".js"))
-    return diff.marker_counts(ctx.redact_constant_tables(ctx.redact_brace_bodies(js)))
+    return diff.marker_counts(ctx.redact_file(js))
 
 
 def js_table_count(spark, sf):

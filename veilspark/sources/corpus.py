@@ -109,8 +109,11 @@ def write_context(parts: DataFrame, out: str, by: str | None = None, partitions:
     """Context document(s) as text files whose concatenation in name order is the document.
 
     The parts are range-partitioned on their order, so a huge repository is spread over many files and no
-    task sees more than its range. With ``by`` each value gets its own folder.
+    task sees more than its range. With ``by`` each value gets its own folder. Range partitioning samples its
+    input first; the parts are checkpointed so that the view is not computed for that as well.
     """
+    ensure_checkpoint_dir(parts.sparkSession)
+    parts = parts.checkpoint()
     keys = ([by] if by else []) + ["rank", "path", "seq"]
     n = [partitions] if partitions else []
     ordered = parts.repartitionByRange(*n, *keys).sortWithinPartitions(*keys)
