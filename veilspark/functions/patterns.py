@@ -52,8 +52,8 @@ PY_BLANKED = "|".join(
     ]
 )
 PY_BLANKED_WITH = "$1$2$3$4"
-# Comment removal: strings are kept, comment-only lines go with their line end.
-PY_UNCOMMENT = "(" + PY_STRING + r")|(?m:^[ \t]*+" + PY_COMMENT + r"(?:\n|\z))|[ \t]*+" + PY_COMMENT
+# Comment removal: strings and other blanks are kept, comment-only lines go with their line end.
+PY_UNCOMMENT = "(" + PY_STRING + r"|[ \t]++(?!#))|(?m:^[ \t]*+" + PY_COMMENT + r"(?:\n|\z))|[ \t]*+" + PY_COMMENT
 
 # JavaScript/TypeScript lexing for redaction: one significant token plus the blanks and comments after it,
 # so row counts follow significant tokens only. A slash after an operator opens a regex literal.

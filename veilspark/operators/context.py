@@ -195,7 +195,7 @@ def context_document(
     tree = found.select(*group, "path").distinct().select(*group, F.lit(2).alias("rank"), "path", F.col("path").alias("text"))
 
     fence = F.when(F.col("route") == "python", "python").otherwise(F.col("language"))
-    shown = F.when(F.col("route") == "python", F.regexp_replace("text", r"\n+\z", "")).otherwise(F.col("text"))
+    shown = F.when(F.col("route") == "python", F.rtrim(F.col("text"), F.lit("\n"))).otherwise(F.col("text"))
     title = F.concat(F.lit("\n## `"), F.col("path"), F.lit("`\n\n"))
     view = F.concat(title, F.lit("```"), fence, F.lit("\n"), shown, F.lit("\n```"))
     problem = F.concat(

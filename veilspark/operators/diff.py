@@ -12,8 +12,8 @@ from veilspark.operators.context import body_markers, redact_file
 from veilspark.operators.files import route_files
 from veilspark.operators.text_tables import KEY
 
-# Fixed value: how the statistics recognise a table declaration.
-JS_TABLE = r"(?m)^\s*(?:const|let|var)\s+([A-Z_][A-Z0-9_]*)\s*=\s*[\{\[]"
+# Fixed value: how the statistics recognise a table declaration, from the start of its own line.
+JS_TABLE = r"(?m)^[^\S\n]*+(?:const|let|var)\s+([A-Z_][A-Z0-9_]*)\s*=\s*[\{\[]"
 
 COUNTERS = ("function_bodies_redacted", "tables_redacted", "docstrings_stripped", "enum_classes_aliased")
 

@@ -232,7 +232,8 @@ def render(
     s = statements(corpus, key, enums)
     text, code = F.col("text"), F.col("code")
     space = F.regexp_extract("text", r"^[ \t]*", 0)
-    tail = F.regexp_extract("text", r"\s*\z", 0)
+    solid = F.rtrim(text, F.lit(" \t\n\r\f"))
+    tail = F.substring(text, F.length(solid) + 1, F.length(text))
     line_end = F.when(tail.contains("\n"), F.lit("\n")).otherwise(F.lit(""))
     emptied = F.coalesce(F.col("next_indent"), F.lit(-1)) < F.col("indent")
 
@@ -243,7 +244,7 @@ def render(
         rest = _blanked(F.substring(text, F.length(signature) + 1, F.length(text)))
         one_line = F.regexp_replace(rest, r"\s+", "") != ""
         dots = F.concat(space, F.lit("..."), line_end)
-        keep_doc = F.concat(F.regexp_replace("text", r"\s*\z", ""), F.lit("\n"), dots)
+        keep_doc = F.concat(solid, F.lit("\n"), dots)
         out = (
             out.when(F.col("first_body"), dots if strip else F.when(F.col("is_doc"), keep_doc).otherwise(dots))
             .when(F.col("in_body"), F.lit(None).cast("string"))

@@ -33,7 +33,7 @@ REL = """concat(CASE o_orderkey % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'lib/' WHEN 2
 BROKEN_TEXT = f"concat({CODE_TEXT}, CASE WHEN p_size > 40 THEN 'f({{' WHEN p_size > 30 THEN ')' ELSE '' END)"
 
 RULES = (
-    Rule("email", r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+", "medium"),
+    Rule("email", r"[A-Za-z0-9._]{1,64}@[A-Za-z0-9.-]+", "medium"),
     Rule("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "low"),
     Rule("license", r"(?:Apache|MIT|General Public) License", "notice"),
 )
