@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -34,9 +35,16 @@ def spread(df: DataFrame, key: str = "path") -> DataFrame:
     A wide input (the normal case at scale) is returned as it is, without a shuffle. Hashing the key keeps
     the placement the same when a lost task is run again. Use on scans, not on plans with shuffles: asking
     an adaptive plan for its partitions would run it.
+
+    A filter above would slide below the shuffle, back into the few input splits. One column passes through
+    an expression on the partition id, which changes nothing and holds filters where the cores are.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.isStreaming or df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    held = next((c for c in df.columns if c != key), None)
+    wide = df.repartition(cores, key)
+    if held is None:
+        return wide
+    return wide.withColumn(held, F.when(F.spark_partition_id() >= 0, F.col(held)))
