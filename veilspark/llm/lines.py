@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import BYTE_VALUE, LOWER, as_bytes, mixed, span_hashes, stored, word_bounds
 
 #: Units of a compared run, units of a gram, and grams of a window: UNITS = GRAM + WINDOW - 1.
-UNITS, GRAM = 6, 2
+UNITS, GRAM = 4, 2
 WINDOW = UNITS - GRAM + 1
-#: A unit also ends behind a word whose hash this divides, so that long sentences have inner cuts.
-CUT = 8
+#: A unit also ends behind a word whose hash this (a power of two) divides, so that long sentences have inner cuts.
+CUT = 16
 #: Words that a repeated run has at least to be deleted.
 MIN_WORDS = 40
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-_NEWLINE, _STOPS = 0x0A, [ord(c) for c in ".!?"]
+_NEWLINE = 0x0A
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
 
 
 class Units:
@@ -41,7 +43,7 @@ class Units:
         if len(words):
             lines = np.concatenate([[0], np.cumsum(self.data == _NEWLINE)])
             last[:-1] = lines[starts[1:]] > lines[ends[:-1]]
-            last |= np.isin(self.data[ends - 1], _STOPS) | (words % np.uint64(CUT) == 0)
+            last |= _STOPS[self.data[ends - 1]] | (words & np.uint64(CUT - 1) == 0)
             last[-1] = True
         stops = np.flatnonzero(last) + 1
         firsts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops
@@ -66,8 +68,9 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(grams) < WINDOW:
         return grams[:0], np.zeros(0, dtype=np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    places = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return grams[places], places
+    chosen = np.zeros(len(grams), dtype=bool)
+    chosen[windows.argmin(axis=1) + np.arange(len(windows))] = True
+    return grams[chosen], np.flatnonzero(chosen)
 
 
 def remaining(text: str | None, places: list[int], own_first: list[int], min_words: int = MIN_WORDS) -> tuple[str | None, int]:
@@ -123,6 +126,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     units = stored(rows.mapInPandas(cut, f"row bigint, key {kind}, units binary, prints array<bigint>, at array<int>"), "units")
     anchors = units.select("row", F.explode(F.arrays_zip("prints", "at")).alias("x")).select("row", F.col("x.prints").alias("print"), F.col("x.at").alias("at"))
     twice = anchors.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # Stored, so that the next join reads two plain exchanges and a frequent gram can be split between tasks.
+    twice = stored(twice, "prints")
     places = anchors.join(twice, "print").groupBy("row").agg(F.collect_set("at").alias("hits"))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,12 +141,14 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             if out:
                 yield pd.concat(out, ignore_index=True).astype({"key": batch["key"].dtype})
 
-    around = units.select("row", "key", "units").dropDuplicates(["row"]).join(places, "row")
+    # Repeated rows are the same places once more: they change neither the first of a kind nor what comes later.
+    around = units.select("row", "key", "units").join(places, "row")
     runs = stored(around.mapInPandas(extend, f"run bigint, row bigint, key {kind}, at int"), "runs")
     first = runs.groupBy("run").agg(F.min(F.struct("key", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
+    first = stored(first, "firsts")
     later = runs.join(first, "run").where("row != first.row or at != first.at")
     mark = F.struct("at", F.when(F.col("row") == F.col("first.row"), F.col("first.at")).otherwise(-1).alias("own"))
-    marks = later.groupBy("row").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    marks = later.groupBy("row").agg(F.collect_list(mark).alias("marks"))
     return marks.select("row", F.col("marks.at").alias("places"), F.col("marks.own").alias("own_first"))
 
 
@@ -165,6 +172,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
         out = [remaining(t, list(p) if p is not None else empty, list(o) if o is not None else empty, min_words) for t, p, o in zip(texts, places, own, strict=True)]
         return pd.DataFrame({"text": pd.Series([t for t, _ in out], dtype=object), "removed": [n for _, n in out]})
 
-    done = rows.withColumn("__rest", rest(F.col(text), "__places", "__own"))
-    shown = [F.col("__rest.text").alias(c) if c == text else F.col(c) for c in docs.columns]
-    return done.select(*shown, *([F.col("__rest.removed").alias(removed)] if removed else []))
+    # A text without marks stays as it is and isn't sent to Python.
+    marked = F.col("__places").isNotNull()
+    done = rows.withColumn("__rest", rest(F.when(marked, F.col(text)), "__places", "__own"))
+    shown = [F.when(marked, F.col("__rest.text")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return done.select(*shown, *([F.coalesce("__rest.removed", F.lit(0).cast("bigint")).alias(removed)] if removed else []))
