@@ -81,11 +81,17 @@ class Items:
         band = diagonal // width
         # A band begins at each multiple of the width and has width + k + 1 diagonals: a hit is in one or two.
         also = diagonal - band * width <= self.edits[item]
-        item, band = np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1])
-        key = item << 40 | (band + (1 << 39))
-        key, count = np.unique(key, return_counts=True)
-        good = count >= self.least[key >> 40]
-        for k in key[good].tolist():
+        place = self.place[hit]
+        item, band, place = np.concatenate([item, item[also]]), np.concatenate([band, band[also] - 1]), np.concatenate([place, place[also]])
+        key, inverse, count = np.unique(item << 40 | (band + (1 << 39)), return_inverse=True, return_counts=True)
+        near = count >= self.least[key >> 40]
+        if not near.any():
+            return
+        # A q-gram of the item counts once, however often a repetitive text has it in the band.
+        some = near[inverse]
+        pairs = np.unique(inverse[some] << 32 | place[some])
+        count = np.bincount(pairs >> 32, minlength=len(key))
+        for k in key[count >= self.least[key >> 40]].tolist():
             item_ = k >> 40
             yield item_, ((k & (1 << 40) - 1) - (1 << 39)) * int(self.width[item_])
 
@@ -126,13 +132,19 @@ def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int)
     a, b = max(low, 0), min(low + m + width, len(text))
     if b > a:
         padded[a - low : b - low] = text[a:b]
-    inside = lambda i: (low + i + step >= 0) & (low + i + step <= len(text))
+    beside = low < 0 or low + m + width - 1 > len(text)
     for i in range(1, m + 1):
-        same = row + (padded[i - 1 : i - 1 + width] != pattern[i - 1])
-        up = np.append(row[1:], far) + 1
-        row = np.where(inside(i), np.minimum(same, up), far)
-        row = np.minimum.accumulate(row - step) + step
-        row[~inside(i)] = far
+        new = row + (padded[i - 1 : i - 1 + width] != pattern[i - 1])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        new -= step
+        np.minimum.accumulate(new, out=new)
+        new += step
+        if beside:
+            at = low + i + step
+            new[(at < 0) | (at > len(text))] = far
+        row = new
+        if not i & 15 and row.min() > k:
+            break
     at = int(np.argmin(row))
     return int(row[at]), low + m + at
 
