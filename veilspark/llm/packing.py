@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +15,11 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import stored
 
-#: How a byte-level BPE of this kind cuts a text before it merges (a fixed value of the vocabulary).
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Below this code point the classes of PIECES are the same in every Unicode version.
-STABLE = "ɐ"
+# How a byte-level BPE of this kind cuts a text before it merges, written out for the code points
+# below U+0250, where no Unicode version differs: letters, other numbers, white space.
+LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+BEYOND = re.compile("[^\\0-\u024f]")
 CACHED = 1 << 19
 
 
@@ -24,32 +27,30 @@ class Encoder:
     """Ids of whole texts. Pieces are merged apart from each other, so a frequent piece is looked up."""
 
     def __init__(self, vocabulary: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(regex.escape(t) for t in special)) if special else None
-        self.pieces = regex.compile(PIECES).findall
+        self.special = re.compile("|".join(re.escape(t) for t in special)) if special else None
+        self.pieces = re.compile(PIECES).findall
         self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if max(text) >= STABLE or self.special and self.special.search(text):
+        if not text.isascii() and BEYOND.search(text) or self.special and self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         parts, known = self.pieces(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(known) > CACHED:
-            known.clear()
-        new = list({p for p in parts if p not in known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        found = list(map(known.get, parts))
+        if None in found:
+            if len(known) > CACHED:
+                known.clear()
+            new = list(dict.fromkeys(p for p in parts if p not in known))
+            for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[piece] = array("I", encoded.ids).tobytes()
+            found = map(known.__getitem__, parts)
+        return b"".join(found)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
