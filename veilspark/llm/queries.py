@@ -110,7 +110,7 @@ digests AS (
   SELECT conv_id, count(*) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-    sum(length(role) + length({_ESCAPED.format("text")}) + 25) AS formatted_chars
+    sum(length(role) + length({_ESCAPED.format("text")}) + 24) AS formatted_chars
   FROM rows WHERE conv_id IS NOT NULL GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM digests""",
