@@ -210,3 +210,15 @@ def test_tokens_give_the_text_back(spark, corpus):
     assert [(r.tok, r.depth) for r in nest.orderBy("pos").collect()] == [("(", 1), ("(", 2), ("{", 2)]
     bad = text_tables.unbalanced_files(corpus(a__py="f(:::\n", b__py="x = ')'\n", c__js="a } {"))
     assert {r.path: (r.low, r.last) for r in bad.collect()} == {"a.py": (0, 1), "c.js": (-1, 0)}
+
+
+def test_keys_and_bad_rules(spark):
+    rows = [("a", ".env", "x CUST-ABC-123456"), ("b", ".env", "x CUST-ABC-123456"), ("c", ".env", "clean")]
+    df = spark.createDataFrame(rows, "repo string, path string, text string")
+    rules = [Rule("cust", r"(?P<the_id>CUST-[A-Z]{3}-\d{6})", "medium"), Rule("bad", "([A-Z]", "high")]
+    key = ("repo", "path")
+    found = flows.scan(df, rules, key=key)
+    assert sorted(r.repo for r in found.findings.collect()) == ["a", "b"]
+    assert [r.repo for r in scan.clean_rows(df, found.findings, key=key).collect()] == ["c"]
+    assert {r.text for r in scan.mask_text(df, rules).collect()} == {"x [REDACTED:cust]", "clean"}
+    assert flows.scan(df, rules, key=key, allow=["CUST-ABC-123456"]).findings.count() == 0

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.paths import language
 from veilspark.functions.patterns import MARKER, VALUE_MARKER
 from veilspark.operators import js_code, python_code
 from veilspark.operators.files import route_files
-from veilspark.operators.splicing import by_key
+from veilspark.operators.splicing import ROW, by_row
 from veilspark.operators.text_tables import KEY, bracket_error
 from veilspark.session import ensure_checkpoint_dir
 
 ENGINE = "veilspark 0.1.0"
 
-Rewrite = Callable[[DataFrame], DataFrame]
+Rewrite = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def _routed(corpus: DataFrame, key: Sequence[str], python: Rewrite | None, js: Rewrite | None) -> DataFrame:
@@ -33,7 +33,7 @@ def _routed(corpus: DataFrame, key: Sequence[str], python: Rewrite | None, js: R
         if rewrite is None:
             continue
         mine = (F.col("route") == name) & readable
-        part = rewrite(by_key(routed.where(mine).select(*k, "text"), key)).select(*k, "text")
+        part = rewrite(by_row(routed.where(mine).select(*k, "text"), key), [*k, ROW]).select(*k, "text")
         out = part if out is None else out.unionByName(part)
         done = done | mine
     return out.unionByName(routed.where(~done).select(*k, "text"))
@@ -43,15 +43,15 @@ def redact_indented_bodies(corpus: DataFrame, keep_docstrings: bool = True, key:
     """Python function and method bodies become an optional docstring and ``...``."""
     docs = "keep" if keep_docstrings else "strip"
 
-    def rewrite(df: DataFrame) -> DataFrame:
-        return python_code.render(df, key, bodies=True, docstrings=docs)
+    def rewrite(df: DataFrame, own: Sequence[str]) -> DataFrame:
+        return python_code.render(df, own, bodies=True, docstrings=docs)
 
     return _routed(corpus, key, rewrite, None)
 
 
 def redact_brace_bodies(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """JS/TS bodies become ``{ marker }``, arrow expressions ``marker null``; all else is byte-identical."""
-    return _routed(corpus, key, None, lambda df: js_code.render(df, key, bodies=True))
+    return _routed(corpus, key, None, lambda df, own: js_code.render(df, own, bodies=True))
 
 
 def redact_constant_tables(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -59,19 +59,19 @@ def redact_constant_tables(corpus: DataFrame, key: Sequence[str] = KEY) -> DataF
     return _routed(
         corpus,
         key,
-        lambda df: python_code.render(df, key, tables=True),
-        lambda df: js_code.render(df, key, tables=True),
+        lambda df, own: python_code.render(df, own, tables=True),
+        lambda df, own: js_code.render(df, own, tables=True),
     )
 
 
 def strip_docstrings(corpus: DataFrame, empty: str = "pass", key: Sequence[str] = KEY) -> DataFrame:
     """Drop module, class and function docstrings; an emptied body becomes ``empty``."""
-    return _routed(corpus, key, lambda df: python_code.render(df, key, docstrings="strip", empty=empty), None)
+    return _routed(corpus, key, lambda df, own: python_code.render(df, own, docstrings="strip", empty=empty), None)
 
 
 def alias_enums(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Members of enum classes become ``VALUE_i = 'Vi'``."""
-    return _routed(corpus, key, lambda df: python_code.render(df, key, enums=True), None)
+    return _routed(corpus, key, lambda df, own: python_code.render(df, own, enums=True), None)
 
 
 def redact_file(
@@ -100,7 +100,8 @@ def redact_file(
 
     clean = rows.where(is_python & F.col("error").isNull()).select(*k, "text")
     uncommented = clean.withColumn("text", python_code.strip_comments(F.col("text")))
-    py = python_code.render(by_key(uncommented, key), key, True, True, docs, enums).select(
+    own = [*k, ROW]
+    py = python_code.render(by_row(uncommented, key), own, True, True, docs, enums).select(
         *k,
         F.lit("python").alias("language"),
         F.lit("python").alias("route"),
@@ -111,8 +112,8 @@ def redact_file(
         "docstrings",
         "enums",
     )
-    js_rows = by_key(rows.where((F.col("route") == "js") & F.col("error").isNull()).select(*k, "text"), key)
-    js_view = js_code.render(js_rows, key, bodies=True, tables=True)
+    js_rows = by_row(rows.where((F.col("route") == "js") & F.col("error").isNull()).select(*k, "text"), key)
+    js_view = js_code.render(js_rows, own, bodies=True, tables=True)
     zero = F.lit(0).cast("bigint")
     js = js_view.select(
         *k,
@@ -236,22 +237,30 @@ def context_document(
     return parts.withColumn("seq", F.lit(0).cast("bigint")).select(*group, F.col("rank").cast("bigint").alias("rank"), "path", "seq", "text")
 
 
-def document_text(parts: DataFrame, by: str, max_bytes: int = 64 << 20) -> DataFrame:
-    """``(by, bytes, document)`` with one string per document of at most ``max_bytes``.
+def document_text(parts: DataFrame, by: str, chunk_bytes: int = 64 << 20) -> DataFrame:
+    """``(by, chunk, bytes, document)``: each document whole, in numbered chunks of about ``chunk_bytes``.
 
-    Larger documents keep their row with a null string: their parts remain the exact form, and
-    ``write_context`` writes them. Only parts of the documents within the bound are collected. The parts are
-    needed twice (sizes, then texts), so they are checkpointed rather than computed again.
+    Concatenating the chunks of a document in order gives the document; one under the bound is chunk 0 alone. A
+    part stands in the chunk in which it begins. Where the chunks are cut is known from sizes alone: the running
+    sum sees keys and lengths, never texts. The parts are needed twice (sizes, then texts), so they are
+    checkpointed rather than computed again.
     """
     ensure_checkpoint_dir(parts.sparkSession)
     parts = parts.checkpoint()
-    sizes = parts.groupBy(by).agg(F.sum(F.octet_length("text") + 1).cast("bigint").alias("bytes"))
-    small = parts.join(sizes.where(F.col("bytes") <= max_bytes).select(by), by, "left_semi")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "path", "seq", "text")))
-    texts = small.groupBy(by).agg(
-        F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n"), F.lit("\n")).alias("document")
+    place = ["rank", "path", "seq"]
+    size = F.octet_length("text").cast("bigint") + 1
+    # Equal places hold one part each; should one repeat, its copies stay together in one chunk.
+    sizes = parts.groupBy(by, *place).agg(F.sum(size).alias("bytes"))
+    before = Window.partitionBy(by).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / chunk_bytes)
+    placed = sizes.select(F.col(by).alias("__by"), *[F.col(c).alias(f"__{c}") for c in place], chunk.cast("bigint").alias("chunk"))
+    same = [F.col(by).eqNullSafe(F.col("__by")), *[F.col(c).eqNullSafe(F.col(f"__{c}")) for c in place]]
+    cut = parts.join(placed, same).select(by, *place, "text", "chunk")
+    ordered = F.array_sort(F.collect_list(F.struct(*place, "text")))
+    return cut.groupBy(by, "chunk").agg(
+        F.sum(size).alias("bytes"),
+        F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n"), F.lit("\n")).alias("document"),
     )
-    return sizes.join(texts, by, "left")
 
 
 def context_status(corpus: DataFrame, strict: bool = False, policy: str | None = None, version: int = 1) -> DataFrame:

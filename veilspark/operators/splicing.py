@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import JS_HEAD, JS_UNIT, PY_HEAD, PY_UNIT
@@ -44,6 +44,21 @@ def by_key(corpus: DataFrame, key: Sequence[str] = KEY, clustered: bool = False)
     return keyed.repartition(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
+#: Tells rows with the same key apart, so that no window ever meets two texts.
+ROW = "__row"
+
+
+def by_row(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """``by_key`` with a column ``ROW`` that numbers the rows of a key in the order of their texts' hashes.
+
+    A key should name one text. Where it doesn't, its rows are numbered and rewritten each for itself; rows that
+    are equal in all are interchangeable, so a task that runs again gives the same table. The numbering sorts
+    within the placement by key and moves nothing.
+    """
+    own = Window.partitionBy(*key).orderBy(F.xxhash64("text"), "text")
+    return by_key(corpus, key).withColumn(ROW, F.row_number().over(own).cast("string"))
+
+
 def splice(units: Column, edits: Column, lexer: Lexer) -> Column:
     """Replace unit ranges: ``edits`` is a sorted array of ``(a, b, with)``; the blanks after ``b`` stay."""
     n = F.size(units)

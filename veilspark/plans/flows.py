@@ -27,11 +27,17 @@ class Obfuscated:
     renames: DataFrame
 
 
-def scan(corpus: DataFrame, rules: Sequence[Rule] = (), ignore: Iterable[str] = ()) -> Scan:
-    """Ignored paths removed, all detectors run, summary attached."""
+def scan(
+    corpus: DataFrame,
+    rules: Sequence[Rule] = (),
+    ignore: Iterable[str] = (),
+    key: Sequence[str] = ("path",),
+    allow: DataFrame | Iterable[str] | None = None,
+) -> Scan:
+    """Ignored paths removed, all detectors run, summary attached. ``key`` names a text, as in ``findings``."""
     kept = exclude_paths(corpus, ignore)
-    found = findings(kept, rules)
-    return Scan(found, scan_summary(kept, findings(kept, rules, ordered=False)))
+    found = findings(kept, rules, key=key, allow=allow)
+    return Scan(found, scan_summary(kept, findings(kept, rules, ordered=False, key=key, allow=allow)))
 
 
 def context(corpus: DataFrame, by: str | None = None, strict: bool = False, ignore: Iterable[str] = ()) -> DataFrame:

@@ -59,7 +59,24 @@ BUILTIN = (
 _PUBLIC = "severity, path, line, rule_id, " + _preview("value") + " AS redacted_preview"
 POLICY_FINDINGS = f"SELECT {_PUBLIC}, concat('Review the match against policy rule ''', rule, '''.') AS suggested_action FROM policy"
 BUILTIN_FINDINGS = f"SELECT {_PUBLIC}, 'Rotate this credential and remove it from source.' AS suggested_action FROM built_once"
-SCAN = f"WITH {DOCS}, {LINES}, {POLICY}, {BUILTIN}, found AS ({POLICY_FINDINGS} UNION ALL {BUILTIN_FINDINGS})"
+ENTROPY = (
+    "cand AS (SELECT path, ln AS line, unnest(regexp_extract_all(line, '[A-Za-z0-9+/=_-]{20,}')) AS value FROM lines), "
+    "ids AS (SELECT *, row_number() OVER () AS id FROM cand), chars AS (SELECT id, unnest(string_split(value, '')) AS ch FROM ids), "
+    "ent AS (SELECT id, entropy(ch) AS e FROM chars GROUP BY id), "
+    "scored AS (SELECT i.*, e, regexp_matches(value, '^[0-9A-Fa-f]+$') AS hex FROM ids i JOIN ent USING (id)), "
+    "high AS (SELECT path, line, concat('builtin/high-entropy-', CASE WHEN hex THEN 'hex' ELSE 'base64' END) AS rule_id, value, e "
+    "FROM scored WHERE e > CASE WHEN hex THEN 3.0 ELSE 4.5 END), "
+    "high_once AS (SELECT 'high' AS severity, path, rule_id, value, min(line) AS line FROM high GROUP BY ALL)"
+)
+FOUND = (
+    f"{LINES}, {POLICY}, {BUILTIN}, {ENTROPY}, found AS ({POLICY_FINDINGS} UNION ALL {BUILTIN_FINDINGS} "
+    f"UNION ALL {BUILTIN_FINDINGS.replace('built_once', 'high_once')})"
+)
+SCAN = f"WITH {DOCS}, {FOUND}"
+SHARED = (
+    "docs AS (SELECT concat('r', doc_id % 4, '/', 'f', doc_id // 4) AS path, text FROM documents)"
+)
+_REPO_AND_PATH = "split_part(path, '/', 1) AS repo, split_part(path, '/', 2) AS path"
 
 _LANG = (
     "CASE WHEN regexp_matches(P, '[^/.][^/]*\\.py$') THEN 'python' "
@@ -273,12 +290,8 @@ ORACLES: dict[str, str] = {
     "JOIN nl ON nl.path = s.path AND nl.pos = s.pos WHERE prev IN ('function', 'class', 'const', 'let', 'var')",
     "scan_rules": f"WITH {DOCS}, {LINES}, {POLICY} {POLICY_FINDINGS}",
     "scan_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} {BUILTIN_FINDINGS}",
-    "scan_entropy": f"WITH {DOCS}, {LINES}, cand AS (SELECT path, ln AS line, unnest(regexp_extract_all(line, '[A-Za-z0-9+/=_-]{{20,}}')) AS value FROM lines), "
-    "ids AS (SELECT *, row_number() OVER () AS id FROM cand), chars AS (SELECT id, unnest(string_split(value, '')) AS ch FROM ids), "
-    "ent AS (SELECT id, entropy(ch) AS e FROM chars GROUP BY id), "
-    "scored AS (SELECT i.*, e, regexp_matches(value, '^[0-9A-Fa-f]+$') AS hex FROM ids i JOIN ent USING (id)) "
-    f"SELECT path, line, concat('builtin/high-entropy-', CASE WHEN hex THEN 'hex' ELSE 'base64' END) AS rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy "
-    "FROM scored WHERE e > CASE WHEN hex THEN 3.0 ELSE 4.5 END",
+    "scan_entropy": f"WITH {DOCS}, {LINES}, {ENTROPY} "
+    f"SELECT path, line, rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy FROM high",
     "dedupe_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} SELECT path, rule_id, line, {_preview('value')} AS preview FROM built_once",
     "redact_preview": f"WITH {DOCS}, w AS (SELECT path, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws FROM docs), "
     f"x AS (SELECT path, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM w) SELECT path, pos, {_preview('word')} AS preview FROM x",
@@ -287,6 +300,8 @@ ORACLES: dict[str, str] = {
     "scan_summary": f"{SCAN} SELECT (SELECT count(*) FROM docs) AS files_scanned, (SELECT count(*) FROM found) AS findings, "
     "CASE WHEN (SELECT count(*) FROM found) = 0 THEN 'ok' ELSE 'findings' END AS status",
     "clean_rows": f"{SCAN} SELECT path, CAST(strlen(text) AS BIGINT) AS bytes FROM docs WHERE path NOT IN (SELECT path FROM found)",
+    "findings_by_repo": f"WITH {SHARED}, {FOUND} SELECT severity, {_REPO_AND_PATH}, line, rule_id, redacted_preview, suggested_action FROM found",
+    "clean_rows_by_repo": f"WITH {SHARED}, {FOUND} SELECT {_REPO_AND_PATH}, sha256(text) AS sha256 FROM docs WHERE path NOT IN (SELECT path FROM found)",
     "rule_clean_rows": f"WITH {DOCS}, {LINES}, {POLICY} SELECT path FROM docs WHERE path NOT IN (SELECT path FROM policy)",
     "mask_text": f"WITH {DOCS} SELECT path, {_MASKED} AS text FROM docs",
     "nearest_policy": f"WITH {REPO_PATHS}, r AS (SELECT DISTINCT o_custkey AS c FROM orders), "
@@ -306,7 +321,7 @@ ORACLES: dict[str, str] = {
     "file_tree": f"WITH {REPO_FILES} SELECT repo, rel AS path FROM repo_files",
     "context_document": f"{PARTS} SELECT * FROM parts",
     "document_text": f"{PARTS} SELECT repo, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, "
-    "concat(string_agg(text, chr(10) ORDER BY rank, path), chr(10)) AS document FROM parts GROUP BY repo",
+    "sha256(concat(string_agg(text, chr(10) ORDER BY rank, path), chr(10))) AS sha256 FROM parts GROUP BY repo",
     "context_status": "SELECT 'context' AS command, 'ok' AS status, count(*) AS files_discovered, CAST(NULL AS VARCHAR) AS policy_loaded_from, "
     "CAST(1 AS BIGINT) AS policy_version, FALSE AS strict FROM part",
     "diff_files": f"WITH {DOCS}, m AS (SELECT path, text, {_MASKED} AS after FROM docs), z AS (SELECT path, CAST(strlen(text) AS BIGINT) AS bytes_before, {_n_lines('text')} AS lines_before, "

@@ -185,20 +185,37 @@ def redact_preview_sql(spark, sf):
 
 
 def findings(spark, sf):
-    return scan.findings(inp.documents(spark, sf), inp.RULES, entropy=False)
+    return scan.findings(inp.documents(spark, sf), [*inp.RULES, inp.BAD_RULE])
 
 
 def scan_summary(spark, sf):
     docs = inp.documents(spark, sf)
-    return scan.scan_summary(docs, scan.findings(docs, inp.RULES, entropy=False, ordered=False))
+    return scan.scan_summary(docs, scan.findings(docs, inp.RULES, ordered=False))
 
 
 def clean_rows(spark, sf):
     docs = inp.documents(spark, sf)
-    kept = scan.clean_rows(docs, scan.findings(docs, inp.RULES, entropy=False, ordered=False))
+    kept = scan.clean_rows(docs, scan.findings(docs, inp.RULES, ordered=False))
     return kept.select("path", F.octet_length("text").cast("bigint").alias("bytes"))
 
 
+def _shared_paths(spark, sf):
+    """Documents as files of four repositories that use the same paths."""
+    docs = inp.table(spark, sf, "documents")
+    repo, path = (F.concat(F.lit(a), F.expr(e).cast("string")) for a, e in (("r", "doc_id % 4"), ("f", "doc_id div 4")))
+    return docs.select(repo.alias("repo"), path.alias("path"), "text")
+
+
+def findings_by_repo(spark, sf):
+    return scan.findings(_shared_paths(spark, sf), inp.RULES, key=("repo", "path"))
+
+
+def clean_rows_by_repo(spark, sf):
+    files_, key = _shared_paths(spark, sf), ("repo", "path")
+    kept = scan.clean_rows(files_, scan.findings(files_, inp.RULES, ordered=False, key=key), key=key)
+    return kept.select(*key, F.sha2("text", 256).alias("sha256"))
+
+
 def rule_clean_rows(spark, sf):
     return scan.rule_clean_rows(inp.documents(spark, sf), inp.RULES).select("path")
 
@@ -277,7 +294,11 @@ def context_document(spark, sf):
 
 
 def document_text(spark, sf):
-    return ctx.document_text(_parts(spark, sf), "repo")
+    """In chunks of 64 KB, so that most documents have several."""
+    chunks = ctx.document_text(_parts(spark, sf), "repo", chunk_bytes=64 << 10)
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "document")))
+    whole = F.array_join(F.transform(ordered, lambda c: c["document"]), "")
+    return chunks.groupBy("repo").agg(F.sum("bytes").alias("bytes"), F.sha2(whole, 256).alias("sha256"))
 
 
 def context_status(spark, sf):
@@ -398,7 +419,7 @@ QUERIES: dict[str, Query] = {
         read_corpus, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
         exclude_paths, with_language, route_files, relative_path, protect_names, valid_rules,
         tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, definitions, scan_rules,
-        scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, mask_text,
+        scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, findings_by_repo, clean_rows_by_repo, mask_text,
         mask_preview, scan_stream, nearest_policy, redact_indented_bodies, redact_brace_bodies,
         redact_constant_tables, strip_docstrings, alias_enums, redact_file, redact_file_strict, file_tree,
         context_document, document_text, context_status, diff_files, diff_counts, diff_context, marker_counts,

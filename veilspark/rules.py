@@ -44,8 +44,10 @@ def java_pattern(pattern: str, unicode_classes: bool = True) -> str:
 
     ``unicode_classes`` makes ``\\w`` and ``\\d`` Unicode-aware as they are in Python.
     """
-    p = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
-    p = re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", p)
+    # Java names have no underscore, so one is spelled out.
+    name = lambda m: m[1].replace("_", "U95")
+    p = re.sub(r"\(\?P<([A-Za-z_]\w*)>", lambda m: f"(?<x{name(m)}>" if "_" in m[1] else f"(?<{m[1]}>", pattern)
+    p = re.sub(r"\(\?P=([A-Za-z_]\w*)\)", lambda m: rf"\k<x{name(m)}>" if "_" in m[1] else rf"\k<{m[1]}>", p)
     p = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", p)
     needs_unicode = unicode_classes and re.search(r"\\[wWdDsSbB]", p)
     return ("(?U)" + p) if needs_unicode else p
@@ -63,18 +65,25 @@ def ignores_context(pattern: str) -> bool:
     return not re.search(r"[\^$\\]|\(\?(?:[=!>]|<[=!])|[*+?}]\+", p)
 
 
-def rules_from_frame(rules: DataFrame, limit: int = 10_000) -> list[Rule]:
-    """Read a rule table ``(id, pattern[, severity])``. Rules are configuration: an error above ``limit``."""
+def rules_from_frame(rules: DataFrame) -> list[Rule]:
+    """Read a rule table ``(id, pattern[, severity])``. Rules are configuration: each becomes an expression."""
     sev = F.coalesce(F.col("severity"), F.lit("medium")) if "severity" in rules.columns else F.lit("medium")
-    rows = rules.select("id", "pattern", sev.alias("severity")).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} rules; split the rule table into packs")
+    rows = rules.select("id", "pattern", sev.alias("severity")).toLocalIterator()
     return [Rule(r.id, r.pattern, r.severity) for r in rows]
 
 
 def check_rules(spark: SparkSession, rules) -> tuple[list[Rule], list[Rule]]:
-    """Split rules into (valid, rejected) by compiling each pattern with the engine that will run it."""
-    ok, rejected = [], []
+    """Split rules into (valid, rejected) by compiling each pattern with the engine that will run it.
+
+    All are tried at once; only if one fails they are tried one by one.
+    """
+    rules, ok, rejected = list(rules), [], []
+    try:
+        if rules:
+            spark.range(1).select([F.lit("x").rlike(java_pattern(r.pattern)) for r in rules]).head()
+        return rules, []
+    except PySparkException:
+        pass
     for rule in rules:
         try:
             # Folded by the optimizer: a bad pattern is refused before any task starts.

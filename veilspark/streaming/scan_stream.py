@@ -16,8 +16,9 @@ def scan_stream(
     rules: Sequence[Rule],
     out: str,
     checkpoint: str,
-    entropy: bool = False,
+    entropy: bool = True,
     trigger: dict | None = None,
+    key: Sequence[str] = ("path",),
 ) -> StreamingQuery:
     """Scan a streaming corpus with the batch operators and write findings below ``out``.
 
@@ -27,7 +28,7 @@ def scan_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = findings(batch, rules, entropy=entropy, ordered=False)
+        found = findings(batch, rules, entropy=entropy, ordered=False, key=key)
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
