@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,25 @@ from veilspark.llm.common import stored
 LETTERS, NUMBERS, SPACES = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 PIECES = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 BEYOND = re.compile("[^\\0-\u024f]")
-CACHED = 1 << 19
+#: Pieces that a worker remembers, in each of two halves.
+CACHED = 1 << 18
+
+
+class _Pieces(dict):
+    """Ids of pieces. When it is full the pieces so far become the older half, from which used ones come back."""
+
+    def __init__(self, encode: Callable) -> None:
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
@@ -33,24 +51,15 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(re.escape(t) for t in special)) if special else None
         self.pieces = re.compile(PIECES).findall
-        self.known: dict[str, bytes] = {}
+        self.ids_of = _Pieces(self.tokenizer.encode).__getitem__
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
         if not text.isascii() and BEYOND.search(text) or self.special and self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts, known = self.pieces(text), self.known
-        found = list(map(known.get, parts))
-        if None in found:
-            if len(known) > CACHED:
-                known.clear()
-            new = list(dict.fromkeys(p for p in parts if p not in known))
-            for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[piece] = array("I", encoded.ids).tobytes()
-            found = map(known.__getitem__, parts)
-        return b"".join(found)
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.ids_of, self.pieces(text)))
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
