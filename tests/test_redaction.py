@@ -267,6 +267,63 @@ def test_renaming(spark, corpus):
     assert (counts.files_transformed, counts.files_copied, counts.renames) == (7, 2, 8)
 
 
+CODE_SHAPES = {
+    "shape__js": (
+        "const _k = 1;\nconst s = `_k ${_k + \"_k\"} ${ {a: {b: _k}}.a } ${w ? `in ${_k}` : _k}`;\n",
+        "const _a000 = 1;\nconst s = `_k ${_a000 + \"_k\"} ${ {a: {b: _a000}}.a } ${w ? `in ${_a000}` : _a000}`;\n",
+    ),
+    "shape__py": (
+        "from m import (a,\n    _z)\nimport _q; _q2 = 3; _w: int = 4\n_z = 5\nif a: from n import _z\ndef g():\n    yield from _z\n    return _q2, _w\n",
+        "from m import (a,\n    _z)\nimport _q; _a000 = 3; _a001: int = 4\n_a002 = 5\nif a: from n import _z\ndef g():\n    yield from _a002\n    return _a000, _a001\n",
+    ),
+}
+
+
+def test_renaming_in_templates_imports_and_after_semicolons(spark, corpus, texts):
+    df = corpus(**{k: v[0] for k, v in CODE_SHAPES.items()})
+    done = flows.obfuscate(df)
+    assert texts(done.corpus) == {k.replace("__", "."): v[1] for k, v in CODE_SHAPES.items()}
+    checks = {r.check: r.failures for r in manifest.verify_output(df, done.corpus, done.renames).collect()}
+    assert checks["no_private_name"] == 0
+    raw = {r.check: r.failures for r in manifest.verify_output(df, df, done.renames).collect()}
+    assert raw["no_private_name"] > 0
+
+
+def test_no_body_hides_behind_templates_or_regex_literals(spark, corpus, texts):
+    shown = texts(ctx.redact_brace_bodies(corpus(
+        a__js="const t = `${xs.map(x => { return secret1; })}`;\n",
+        b__js="const r =          /`/;\nfunction g(a) { return secret2; }\nconst e = `x`;\n",
+        c__js="if (x) /`/.test(y);\nfunction g(a) { return secret3; }\nconst e = `x`;\n",
+        d__js="const r = " + " " * 90 + "/`/;\nfunction g(a) { return secret4; }\nconst e = `x`;\n",
+        e__js="const t = `${ {a: {b: {c: {d: {e: {f: 1}}}}}} , function () { return secret5; } }`;\n",
+        f__js="const t = `${a} => ${b}`; const q = (a) / b / c;\n",
+    )))
+    assert not [p for p, s in shown.items() if "secret" in s]
+    assert shown["a.js"] == "const t = `/* [REDACTED] */`;\n"
+    assert shown["f.js"] == "const t = `${a} => ${b}`; const q = (a) / b / c;\n"
+
+
+def test_enum_members_on_one_line(spark, corpus, texts):
+    shown = texts(ctx.alias_enums(corpus(e__py="from enum import Enum\nclass C(Enum):\n    A = 11; B = 'x;y'\n    D = 33\n")))["e.py"]
+    assert shown == "from enum import Enum\nclass C(Enum):\n    VALUE_0 = 'V0'; VALUE_1 = 'V1'\n    VALUE_2 = 'V2'\n"
+
+
+def test_pseudonyms_of_rules_that_look_around(spark, corpus, texts):
+    rules = [
+        Rule("id", r"(?<=id=)\d+"), Rule("tok", r"^TOKEN \w+"), Rule("twice", r"(?P<the_word>[a-z]{3})-(?P=the_word)"),
+        Rule("again", r"([A-Z])\1{3}"), Rule("bad", "([A-Z"), Rule("none", "q*"),
+    ]
+    df = corpus(a="id=123 x\r\nTOKEN aB9 id=7\nabc-abc abc-abd XXXX id=123", b="no entity", c="")
+    out, names = rename.pseudonymize(df, rules)
+    assert texts(out) == {
+        "a": "id=ID_000 x\r\nTOK_000 id=ID_001\nTWICE_000 abc-abd AGAIN_000 id=ID_000", "b": "no entity", "c": "",
+    }
+    assert {(r.rule_id, r.original) for r in names.collect()} == {("id", "123"), ("id", "7"), ("tok", "TOKEN aB9"), ("twice", "abc-abc"), ("again", "XXXX")}
+    # Overlapping matches are one entity: nothing of either stays.
+    out, names = rename.pseudonymize(corpus(a="say 12 34 56 on"), [Rule("left", "12 34"), Rule("right", "34 56")])
+    assert texts(out) == {"a": "say LEFT_000 on"} and names.head().original == "12 34 56"
+
+
 def test_keep_list_docstrings_and_comments(spark, corpus):
     df = corpus(a__py='"""Module doc."""\n\ndef _internal_api():\n    """Function doc."""\n\ndef _ns_a(): return 1\n', calc__py=CALC)
     result = flows.obfuscate(df, keep=["_internal_api", "_ns*"], drop_docstrings=True)

@@ -43,6 +43,17 @@ def test_reading_a_tree_sees_hidden_files(spark, tmp_path):
     assert decoded[".cfg/deep/x.bin"] == (False, None) and decoded["a.py"] == (True, "x = 1\n")
 
 
+def test_reading_by_uri_with_odd_names_and_a_link_to_the_parent(spark, tmp_path):
+    names = ["a#b.py", "a b.py", "100%.js", "p%41q.py", "dir x/#.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "dir x" / "up").symlink_to(tmp_path, target_is_directory=True)
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file://{tmp_path}/"):
+        rows = src.read_corpus(spark, root).collect()
+        assert {r.path[len(root.rstrip("/")) + 1 :]: bytes(r.content).decode() for r in rows} == {n: n for n in names}
+
+
 def test_writers(spark, corpus, tmp_path):
     df = corpus(a__py="SECRET-1", b__js="y").withColumn("language", F.lit("python"))
     out = str(tmp_path / "out")

@@ -59,7 +59,14 @@ PY_UNCOMMENT = "(" + PY_STRING + r"|[ \t]++(?!#))|(?m:^[ \t]*+" + PY_COMMENT + r
 # so row counts follow significant tokens only. A slash after an operator opens a regex literal.
 JS_TRIVIA = r"(?:\s++|" + JS_COMMENT + ")"
 _REGEX_BODY = r"(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
-_REGEX_IN_TEXT = r"(?<=[(,=:\[!&|?{};+][ \t]{0,8}|\breturn[ \t]{1,8})/(?![/*])" + _REGEX_BODY
+# A slash opens a regex literal after an operator or one of these words, after a closing parenthesis if a method of
+# regexes is called on it, and at the start of the text. A look-behind has a bound: behind more blanks than it spans,
+# what can be a literal is taken as one, so that quotes inside it never open a string.
+_REGEX_IN_TEXT = (
+    r"(?=/(?![/*]))(?:(?<=[(,=:\[!&|?{};+~^%*<>-]\s{0,32}|^|\s{33}"
+    r"|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|yield|await|new)\s{1,32})/" + _REGEX_BODY
+    + r"|(?<=\)\s{0,32})/" + _REGEX_BODY + r"(?=\s*+\.\s*+(?:test|exec|source|flags)\b))"
+)
 _REGEX_AT_START = r"/(?![/*=\s])" + _REGEX_BODY
 _JS_PLAIN = "|".join(
     [
@@ -82,6 +89,19 @@ JS_UNIT = (
 # The significant part of one unit ('' for the blanks that may open a text).
 JS_HEAD = r"^(?!\s|//|/\*)(?:" + _REGEX_AT_START + "|" + _JS_PLAIN + ")"
 
+# Template literals with substitutions: the code behind ``${`` up to its brace (to the end if braces nest deeper than
+# is told apart here), or before the brace that ends an outer substitution; and the pieces of such code.
+_BRACES = r"\{[^{}]*+\}"
+for _ in range(3):
+    _BRACES = r"\{(?:[^{}]++|" + _BRACES + r")*+\}"
+JS_TEMPLATE_CODE = r"^(?:[^{}]++|" + _BRACES + r")*+(?:\{[\s\S]*+)?+"
+JS_TEMPLATE_REST = r"^[^{}]*+\}"
+JS_TEMPLATE_PIECE = (
+    _DOUBLE + "|" + _SINGLE + r"|(?<![A-Za-z0-9_$.\u0080-\uffff])_[A-Za-z0-9_$\u0080-\uffff]*+|[^_\"']++|[\s\S]"
+)
+# Signs of a function in such code.
+JS_FUNCTION = r"=>|\bfunction\b|\)\s*+\{"
+
 # The same for Python: strings carry their prefix.
 PY_TRIVIA = r"(?:\s++|\\\n|" + PY_COMMENT + ")"
 _PY_PLAIN = "|".join([r"(?:[rRbBuUfFtT]{1,2})?+" + PY_STRING, _NAME, _NUMBER, r"[=!<>:]=", r"[\s\S]"])
@@ -100,3 +120,4 @@ ENUM_BASES = ("Enum", "IntEnum", "StrEnum", "Flag", "IntFlag")
 MARKER = "/* [REDACTED] */"
 BODY_MARKER = " /* [REDACTED] */ "
 VALUE_MARKER = "/* [REDACTED] */ null"
+TEMPLATE_MARKER = "`/* [REDACTED] */`"

@@ -14,7 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.paths import language
-from veilspark.functions.patterns import BODY_MARKER, VALUE_MARKER
+from veilspark.functions.patterns import (
+    BODY_MARKER,
+    JS_FUNCTION,
+    JS_TEMPLATE_CODE,
+    JS_TEMPLATE_PIECE,
+    JS_TEMPLATE_REST,
+    TEMPLATE_MARKER,
+    VALUE_MARKER,
+)
 from veilspark.functions.text import constant_table_name
 from veilspark.operators.splicing import JS_LEXER, apply_edits
 from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS
@@ -56,6 +64,28 @@ def _struct_before(cond: Column, value: Column, window) -> Column:
     )
 
 
+def template_parts(sig: Column) -> Column:
+    """A template literal cut at ``${``: an array of ``(code, rest)``, where code is what is evaluated.
+
+    A literal that follows a nested one begins inside the outer substitution: its code runs to the brace.
+    """
+    return F.transform(
+        F.transform(
+            F.split(sig, r"\$\{"),
+            lambda p, i: F.struct(
+                F.when(i == 0, F.regexp_extract(p, JS_TEMPLATE_REST, 0)).otherwise(F.regexp_extract(p, JS_TEMPLATE_CODE, 0)).alias("code"),
+                p.alias("part"),
+            ),
+        ),
+        lambda x: F.struct(x["code"].alias("code"), F.substring(x["part"], F.length(x["code"]) + 1, F.length(x["part"])).alias("rest")),
+    )
+
+
+def _computes(sig: Column) -> Column:
+    """Is this a template literal with a function in one of its substitutions?"""
+    return sig.startswith("`") & sig.rlike(JS_FUNCTION) & F.exists(template_parts(sig), lambda p: p["code"].rlike(JS_FUNCTION))
+
+
 def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None = None) -> DataFrame:
     """The structural units of each text, with partners and context.
 
@@ -115,6 +145,7 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
         | F.col("is_close")
         | F.col("asi")
         | one_of("sig", "=>", ";", ",", *STATEMENT_WORDS)
+        | F.col("sig").startswith("`")
         | (F.col("ts") & one_of("sig", "type", ":"))
     )
     u = u.where(keep if names is None else keep | names)
@@ -172,7 +203,8 @@ def structure(corpus: DataFrame, key: Sequence[str] = KEY, names: Column | None
 def spans(u: DataFrame, key: Sequence[str] = KEY, bodies: bool = True, tables: bool = True) -> DataFrame:
     """Outermost redactions ``(key, a, b, kind)`` by unit position.
 
-    A body runs from its brace to the partner (kind 'body'); an arrow expression or a table is a 'value'.
+    A body runs from its brace to the partner (kind 'body'); an arrow expression or a table is a 'value'. A
+    template literal with a function in a substitution goes as a whole (kind 'template').
     """
     k = list(key)
     by_pos = Window.partitionBy(*k).orderBy("pos")
@@ -231,6 +263,7 @@ def spans(u: DataFrame, key: Sequence[str] = KEY, bodies: bool = True, tables: b
                     F.lit("value").alias("kind"),
                 ),
             )
+            .when(_computes(sig), F.struct(F.col("pos").alias("a"), F.col("pos").alias("b"), F.lit("template").alias("kind")))
             .otherwise(a)
         )
     found = u.where(~F.col("shape")).select(*k, "pos", a.alias("s")).where("s IS NOT NULL").select(*k, "pos", "s.*")
@@ -241,10 +274,12 @@ def spans(u: DataFrame, key: Sequence[str] = KEY, bodies: bool = True, tables: b
 
 
 def render(corpus: DataFrame, key: Sequence[str] = KEY, bodies: bool = False, tables: bool = False) -> DataFrame:
-    """Rewrite JS/TS texts: bodies become ``{ marker }``, arrow values and tables ``marker null``."""
+    """Rewrite JS/TS texts: bodies become ``{ marker }``, arrow values and tables ``marker null``, templates with
+    functions a template of the marker."""
     k = list(key)
     base = corpus.select(*k, "text")
-    marked = F.when(F.col("kind") == "body", F.lit("{" + BODY_MARKER + "}")).otherwise(F.lit(VALUE_MARKER))
+    marked = F.when(F.col("kind") == "body", F.lit("{" + BODY_MARKER + "}"))
+    marked = marked.when(F.col("kind") == "template", F.lit(TEMPLATE_MARKER)).otherwise(F.lit(VALUE_MARKER))
     found = spans(structure(base, key), key, bodies, tables).withColumn("with", marked)
     return apply_edits(base, found, JS_LEXER, key)
 
@@ -280,15 +315,22 @@ def js_definitions(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def reference_units(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Positions of identifiers that start with ``_`` and may be renamed: ``(key, pos, sig)``.
+    """Positions of identifiers that start with ``_`` and may be renamed: ``(key, pos, sig, name)``.
 
-    Left alone: members after a dot, object keys and shorthands, destructured names, class member names.
+    A template literal is one unit with a row per name in its substitutions. Left alone: members after a dot, object keys and shorthands, destructured names, class member names.
     """
     k = list(key)
     sig, prev, nxt = F.col("sig"), F.col("prev"), F.col("next")
-    u = structure(corpus.select(*k, "text"), key, names=sig.startswith("_")).where(sig.startswith("_"))
+    template = sig.startswith("`") & sig.contains("_")
+    private = sig.startswith("_") | template
+    u = structure(corpus.select(*k, "text"), key, names=private).where(private)
     kind = F.col("encl.kind")
     in_object = F.coalesce(kind == "object", F.lit(False)) & one_of("prev", "{", ",", "get", "set", "async", "*")
     in_class = F.coalesce(kind == "class", F.lit(False)) & ~one_of("prev", "=", "(", "[", "extends", "new", "?", "+", "-", "&&", "||", "??", "!", ":", "<", "|", "&", "implements", "...") & one_of("next", "(", "=", ":", ";", "?", "!", "}", "")
     keep = one_of("prev", ".", "?.") | in_object | in_class
-    return u.where(~keep).select(*k, "pos", "sig")
+    found = F.transform(
+        template_parts(sig), lambda p: F.regexp_extract_all(p["code"], F.lit(JS_TEMPLATE_PIECE), F.lit(0))
+    )
+    inside = F.filter(F.array_distinct(F.flatten(found)), lambda n: n.startswith("_"))
+    names = F.when(template, inside).otherwise(F.array(sig))
+    return u.where(template | ~keep).select(*k, "pos", "sig", F.explode(names).alias("name"))

@@ -92,7 +92,7 @@ def verify_output(
     py = by_key(after_rows.where("route = 'python'").select(*k, "text"), key)
     js = by_key(after_rows.where("route = 'js'").select(*k, "text"), key)
     left = _python_references(py, key).select(*k, "name").unionByName(
-        reference_units(js, key).select(*k, F.col("sig").alias("name"))
+        reference_units(js, key).select(*k, "name")
     )
     # A new name may equal an original of the same file; only names that are no longer in use count.
     new = renames.select(*k, F.col("renamed").alias("name"))

@@ -27,6 +27,7 @@ from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS
 _DEF = r"^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 _CLASS = r"^[ \t]*class[ \t]+([A-Za-z_][A-Za-z0-9_]*)"
 _ASSIGN = r"^([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)"
+_COMPOUND = r"^(?:if|elif|else|for|while|with|try|except|finally|match|case|async|def|class)\b(?!\s*=)"
 _ANNOTATED = r"^([A-Za-z_][A-Za-z0-9_]*)\s*:"
 _STRING_EXPR = r"^\s*[rRuU]?[\"'](?:\s*[rRuU]?[\"'])*\s*$"
 _ENUM_CLASS = (
@@ -195,7 +196,10 @@ def statements(corpus: DataFrame, key: Sequence[str] = KEY, enums: bool = False)
 
 
 def _enum_members(stmts: DataFrame, k: list[str], earlier) -> DataFrame:
-    """Add ``is_enum`` and ``enum_index`` (members of the class body only, counted from 0)."""
+    """Add ``is_enum``, ``enum_index`` (members of the class body only, counted from 0) and ``enum_n``.
+
+    Several members may stand on one line: ``enum_index`` is the first, ``enum_n`` their number.
+    """
     is_enum = F.col("is_class") & F.col("code").rlike(_ENUM_CLASS)
     last = F.last(F.when(F.col("is_enum"), F.struct("sid", "end_sid")), ignorenulls=True).over(earlier)
     stmts = stmts.withColumn("is_enum", is_enum).withColumn("enum", last)
@@ -203,14 +207,13 @@ def _enum_members(stmts: DataFrame, k: list[str], earlier) -> DataFrame:
     stmts = stmts.withColumn("enum_sid", F.when(inside, F.col("enum.sid"))).drop("enum")
     group = Window.partitionBy(*k, "enum_sid")
     body_indent = F.min("indent").over(group)
-    member = (
-        F.col("enum_sid").isNotNull() & (F.col("indent") == F.col("body_indent")) & F.col("code").rlike(_ENUM_MEMBER)
-    )
-    stmts = stmts.withColumn("body_indent", body_indent).withColumn("member", F.coalesce(member, F.lit(False)))
-    counter = F.sum(F.col("member").cast("int")).over(
-        group.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return stmts.withColumn("enum_index", F.when(F.col("member"), counter - 1)).drop("body_indent", "member")
+    members = F.size(F.filter(F.split("code", ";"), lambda p: p.rlike(_ENUM_MEMBER)))
+    here = F.col("enum_sid").isNotNull() & (F.col("indent") == F.col("body_indent"))
+    stmts = stmts.withColumn("body_indent", body_indent)
+    stmts = stmts.withColumn("enum_n", F.when(F.coalesce(here, F.lit(False)), members).otherwise(0))
+    counter = F.sum("enum_n").over(group.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    index = F.when(F.col("enum_n") > 0, counter - F.col("enum_n"))
+    return stmts.withColumn("enum_index", index.cast("int")).drop("body_indent")
 
 
 def render(
@@ -263,8 +266,9 @@ def render(
         out = out.when(F.col("is_doc"), F.when(fill, placeholder))
     if enums:
         # Names and values go; the position within the class stays.
-        index = F.col("enum_index").cast("string")
-        alias = F.concat(space, F.lit("VALUE_"), index, F.lit(" = 'V"), index, F.lit("'"), tail)
+        last_index = F.col("enum_index") + F.greatest(F.col("enum_n"), F.lit(1)) - 1
+        one = lambda i: F.concat(F.lit("VALUE_"), i.cast("string"), F.lit(" = 'V"), i.cast("string"), F.lit("'"))
+        alias = F.concat(space, F.array_join(F.transform(F.sequence("enum_index", last_index), one), "; "), tail)
         out = out.when(F.col("enum_index").isNotNull(), alias)
     out = out.otherwise(text)
 
@@ -290,19 +294,27 @@ def python_definitions(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame
     """
     s = logical_lines(corpus, key)
     code = F.col("code")
-    assigned = F.regexp_extract("code", _ASSIGN, 1)
-    annotated = F.regexp_extract("code", _ANNOTATED, 1)
-    chained = F.filter(
-        F.split(F.regexp_extract("code", r"^((?:[A-Za-z_][A-Za-z0-9_]*\s*=(?!=)\s*)+)", 1), r"\s*=\s*"),
-        lambda n: n != "",
+
+    def assigned(part: Column) -> Column:
+        """The names that one simple statement assigns."""
+        annotated = F.regexp_extract(part, _ANNOTATED, 1)
+        chained = F.filter(
+            F.split(F.regexp_extract(part, r"^((?:[A-Za-z_][A-Za-z0-9_]*\s*=(?!=)\s*)+)", 1), r"\s*=\s*"),
+            lambda n: n != "",
+        )
+        plain = F.regexp_extract(part, _ASSIGN, 1) != ""
+        typed = (annotated != "") & ~annotated.isin("else", "try", "finally")
+        return F.when(plain, chained).when(typed, F.array(annotated)).otherwise(F.array().cast("array<string>"))
+
+    # Simple statements on one line are cut at semicolons; those behind the colon of a block belong to it.
+    parts = F.when(code.rlike(_COMPOUND), F.array(code)).otherwise(
+        F.transform(F.split(code, ";"), lambda p: F.regexp_replace(p, r"^\s+", ""))
     )
     top = F.col("indent") == 0
-    keyword = annotated.isin("else", "try", "finally")
     names = (
         F.when(F.col("is_def"), F.array(F.regexp_extract("code", _DEF, 1)))
         .when(F.col("is_class"), F.array(F.regexp_extract("code", _CLASS, 1)))
-        .when(top & (assigned != ""), chained)
-        .when(top & (annotated != "") & ~keyword, F.array(annotated))
+        .when(top, F.flatten(F.transform(parts, assigned)))
     )
     kind = F.when(F.col("is_def"), "function").when(F.col("is_class"), "class").otherwise("constant")
     return s.withColumn("kind", kind).select(

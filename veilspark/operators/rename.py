@@ -7,15 +7,16 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.patterns import PRIVATE_REFERENCE
+from veilspark.functions.patterns import JS_TEMPLATE_PIECE, LINE_BREAK, LINE_WITH_BREAK, PRIVATE_REFERENCE
 from veilspark.functions.text import private_name
 from veilspark.operators.context import _routed
 from veilspark.operators.files import route_files
-from veilspark.operators.js_code import js_definitions, reference_units
+from veilspark.operators.js_code import js_definitions, reference_units, template_parts
 from veilspark.operators.python_code import python_definitions, strip_comments
-from veilspark.operators.splicing import JS_LEXER, PY_LEXER, apply_edits, by_key
+from veilspark.operators.scan import _any_rule, has_match
+from veilspark.operators.splicing import JS_LEXER, PY_LEXER, ROW, apply_edits, by_key, by_row
 from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS, bracket_error
-from veilspark.rules import Rule, java_pattern
+from veilspark.rules import Rule, check_rules, java_pattern
 
 
 def protected(name: Column, keep: Iterable[str]) -> Column:
@@ -77,10 +78,15 @@ def rename_map(defs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 
 def _python_references(base: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``(key, pos, sig, name)``: private names as identifiers or inside f-string fields."""
+    """``(key, pos, sig, name)``: private names as identifiers or inside f-string fields.
+
+    Import statements name what other files define, so they are left as they are.
+    """
     k = list(key)
     cut = base.select(*k, F.posexplode(PY_LEXER.units(F.col("text"))).alias("pos", "unit"))
-    cut = cut.select(*k, "pos", PY_LEXER.head(F.col("unit")).alias("sig")).where("sig <> ''")
+    cut = cut.select(*k, "pos", "unit", PY_LEXER.head(F.col("unit")).alias("sig")).where("sig <> ''")
+    blanks = F.substring(F.col("unit"), F.length("sig") + 1, F.length("unit"))
+    cut = cut.select(*k, "pos", "sig", F.replace(blanks, F.lit("\\\n"), F.lit("")).contains("\n").alias("nl"))
     by_pos = Window.partitionBy(*k).orderBy("pos")
     step = F.when(F.col("sig").isin(*OPENERS), 1).when(F.col("sig").isin(*CLOSERS), -1).otherwise(0)
     u = cut.select(
@@ -90,7 +96,12 @@ def _python_references(base: DataFrame, key: Sequence[str]) -> DataFrame:
         F.lag("sig", 1, "").over(by_pos).alias("prev"),
         F.lead("sig", 1, "").over(by_pos).alias("next"),
         F.sum(step).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"),
+        F.lag("nl", 1, True).over(by_pos).alias("first"),
     )
+    begins = (F.col("first") & (F.col("depth") - step <= 0)) | (F.col("prev") == ";")
+    begins = begins | (F.col("sig").isin("import", "from") & (F.col("prev") == ":"))
+    statement = F.last(F.when(begins, F.col("sig")), ignorenulls=True).over(by_pos)
+    u = u.withColumn("statement", statement).where(~F.col("statement").isin("import", "from"))
     keyword = (F.col("depth") > 0) & (F.col("next") == "=") & F.col("prev").isin("(", ",")
     plain = F.col("sig").startswith("_") & (F.col("prev") != ".") & ~keyword
     formatted = F.col("sig").rlike(r"^(?i:f|fr|rf)[\"']")
@@ -113,6 +124,18 @@ def _rename_in(sig: Column, names: Column) -> Column:
     return F.when(sig.startswith("_"), F.element_at(names, 1)["renamed"]).otherwise(F.array_join(swapped, ""))
 
 
+def _rename_in_js(sig: Column, names: Column) -> Column:
+    """All renames of a name or of the code inside a template literal."""
+    lookup = F.map_from_entries(names)
+
+    def swapped(p: Column) -> Column:
+        pieces = F.regexp_extract_all(p["code"], F.lit(JS_TEMPLATE_PIECE), F.lit(0))
+        return F.concat(F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(lookup, c), c)), ""), p["rest"])
+
+    template = F.array_join(F.transform(template_parts(sig), swapped), "${")
+    return F.when(sig.startswith("_"), F.element_at(names, 1)["renamed"]).otherwise(template)
+
+
 def apply_renames(corpus: DataFrame, renames: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Rewrite every reference to a renamed identifier, file by file; other rows keep their text.
 
@@ -136,8 +159,13 @@ def apply_renames(corpus: DataFrame, renames: DataFrame, key: Sequence[str] = KE
         return apply_edits(df, cuts, PY_LEXER, key)
 
     def js(df: DataFrame) -> DataFrame:
-        edits = reference_units(df, key).withColumnRenamed("sig", "name").join(new, [*k, "name"])
-        cuts = edits.select(*k, F.col("pos").alias("a"), F.col("pos").alias("b"), F.col("renamed").alias("with"))
+        edits = reference_units(df, key).join(new, [*k, "name"])
+        per_unit = edits.groupBy(*k, "pos").agg(
+            F.first("sig").alias("sig"), F.collect_list(F.struct("name", "renamed")).alias("names")
+        )
+        cuts = per_unit.select(
+            *k, F.col("pos").alias("a"), F.col("pos").alias("b"), _rename_in_js(F.col("sig"), F.col("names")).alias("with")
+        )
         return apply_edits(df, cuts, JS_LEXER, key)
 
     fit = marked.where("transformed")
@@ -170,47 +198,108 @@ def transform_counts(before: DataFrame, renames: DataFrame) -> DataFrame:
     )
 
 
+def _rule_pieces(line: Column, rule: Rule, number: int) -> Column:
+    """The matches of one rule in a line, each with the text before it; the last entry is what follows them."""
+    pattern = java_pattern(rule.pattern)
+    values = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
+    pieces = F.split(line, pattern, -1)
+    # An empty match at the start of a line cuts off no piece.
+    pieces = F.when(F.size(pieces) <= F.size(values), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
+    zipped = F.zip_with(pieces, values, lambda a, b: F.struct(a.alias("piece"), b.alias("value")))
+    return F.transform(
+        zipped,
+        lambda z, i: F.struct(F.lit(number).alias("rule"), i.alias("nth"), z["piece"].alias("piece"), z["value"].alias("value")),
+    )
+
+
+def _entities(lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str], k: list[str]) -> DataFrame:
+    """``(<k>, ln, a, b, rule_id, value)``: what is replaced in each line, from character a up to b.
+
+    Values come from matches in their line and are never matched again. Matches that overlap are one entity under
+    the rule of the leftmost (then of the earlier rule), so no part of a match stays.
+    """
+    found = F.flatten(F.array(*[_rule_pieces(F.col("line"), r, i) for i, r in enumerate(rules)]))
+    m = lines.select(*k, "ln", F.explode(found).alias("m")).select(*k, "ln", "m.*")
+    width = F.coalesce(F.length("value"), F.lit(0))
+    upto = F.sum(F.length("piece") + width).over(Window.partitionBy(*k, "ln", "rule").orderBy("nth"))
+    m = m.withColumn("b", upto).withColumn("a", F.col("b") - width).where(width > 0)
+    if keep:
+        m = m.where(~F.col("value").isin(list(keep)))
+    order = Window.partitionBy(*k, "ln").orderBy("a", "rule")
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("reach", F.coalesce(reach, F.lit(0)))
+    apart = F.col("a") >= F.col("reach")
+    m = m.withColumn("entity", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    beyond = F.col("value").substr((F.col("reach") - F.col("a") + 1).cast("int"), F.length("value"))
+    part = F.when(apart, F.col("value")).when(F.col("b") > F.col("reach"), beyond).otherwise("")
+    merged = m.groupBy(*k, "ln", "entity").agg(
+        F.min("a").cast("int").alias("a"),
+        F.max("b").cast("int").alias("b"),
+        F.min(F.struct("a", "rule")).alias("first"),
+        F.array_sort(F.collect_list(F.struct("a", "rule", part.alias("part")))).alias("parts"),
+    )
+    ids = F.array(*[F.lit(r.id) for r in rules])
+    value = F.array_join(F.transform("parts", lambda x: x["part"]), "")
+    return merged.select(*k, "ln", "a", "b", F.element_at(ids, F.col("first.rule") + 1).alias("rule_id"), value.alias("value"))
+
+
+def _with_aliases(lines: Column, hits: Column) -> Column:
+    """The lines joined, those of ``hits`` (sorted by line, with sorted edits) with their aliases put in."""
+
+    def line(h: Column) -> Column:
+        text, edits = F.element_at(lines, h["ln"] + 1), h["edits"]
+
+        def put(e: Column, j: Column) -> Column:
+            start = F.when(j == 0, F.lit(0)).otherwise(F.element_at(edits, F.greatest(j, F.lit(1)))["b"])
+            return F.concat(F.substring(text, start + 1, e["a"] - start), e["alias"])
+
+        tail = F.substring(text, F.element_at(edits, -1)["b"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(edits, put), ""), tail)
+
+    def piece(h: Column, i: Column) -> Column:
+        start = F.when(i == 0, F.lit(0)).otherwise(F.element_at(hits, F.greatest(i, F.lit(1)))["ln"] + 1)
+        return F.concat(F.array_join(F.slice(lines, start + 1, h["ln"] - start), ""), line(h))
+
+    last = F.element_at(hits, -1)["ln"]
+    tail = F.slice(lines, last + 2, F.greatest(F.size(lines) - last - 1, F.lit(0)))
+    return F.concat(F.array_join(F.transform(hits, piece), ""), F.array_join(tail, ""))
+
+
 def pseudonymize(
     corpus: DataFrame, rules: Sequence[Rule], keep: Iterable[str] = (), key: Sequence[str] = KEY
 ) -> tuple[DataFrame, DataFrame]:
     """Stable aliases per row for the entities that rules find: ``(corpus, map)``.
 
     ``map`` is ``(path, rule_id, original, renamed)``; aliases are ``<RULE>_000``, ... in order of first
-    appearance. Where rules overlap, the leftmost match counts, then the earlier rule. Only rows with a match
-    are cut up; numbering uses windows over their matches, so the map needs no join.
+    appearance. Rules are searched line by line, as in the scan, so anchors, look-around and back-references hold;
+    rules that the engine can't compile are left out (``check_rules`` tells which). Only rows with a match are cut
+    up, after one placement by key; rows that share a key are numbered each for itself.
     """
     k, keep = list(key), list(keep)
+    rules = check_rules(corpus.sparkSession, rules)[0]
     if not rules:
         empty = ", ".join(f"{c} string" for c in [*k, "rule_id", "original", "renamed"])
         return corpus, corpus.sparkSession.createDataFrame([], empty)
-    pattern = "|".join(f"(?:{java_pattern(r.pattern)})" for r in rules)
-    text = F.col("text")
-    has = F.coalesce(text.rlike(pattern), F.lit(False))
-    base = by_key(corpus.where(has).select(*k, "text"), key)
-    pairs = F.arrays_zip(
-        F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
-    )
-    rows = base.select(*k, F.posexplode(pairs).alias("pos", "p")).select(*k, "pos", "p.piece", "p.value")
-    rule = F.when(F.lit(False), F.lit(""))
-    for r in rules:
-        rule = rule.when(F.col("value").rlike(rf"^(?:{java_pattern(r.pattern)})\z"), r.id)
-    if keep:
-        rule = F.when(~F.col("value").isin(keep), rule)
-    rows = rows.withColumn("rule_id", rule)
-    seen = F.min("pos").over(Window.partitionBy(*k, "rule_id", "value"))
-    rows = rows.withColumn("seen", seen)
-    rank = F.dense_rank().over(Window.partitionBy(*k, "rule_id").orderBy("seen"))
+    has = has_match(F.col("text"), rules)
+    own = [*k, ROW]
+    base = by_row(corpus.where(has).select(*k, "text"), key)
+    all_lines = F.regexp_extract_all("text", F.lit(LINE_WITH_BREAK), F.lit(0))
+    body = F.regexp_replace("line", F.lit("(?:" + LINE_BREAK + r")\z"), F.lit(""))
+    lines = base.select(*own, F.posexplode(all_lines).alias("ln", "line")).select(*own, "ln", body.alias("line"))
+    found = _entities(lines.where(_any_rule(F.col("line"), rules)), rules, keep, own)
+    seen = F.min(F.struct("ln", "a")).over(Window.partitionBy(*own, "rule_id", "value"))
+    found = found.withColumn("seen", seen)
+    rank = F.dense_rank().over(Window.partitionBy(*own, "rule_id").orderBy("seen"))
     alias = F.concat(F.upper("rule_id"), F.lit("_"), F.format_string("%03d", (rank - 1).cast("int")))
-    rows = rows.withColumn("alias", F.when(F.col("rule_id").isNotNull(), alias))
-    out = F.concat("piece", F.coalesce("alias", "value", F.lit("")))
-    joined = F.array_sort(F.collect_list(F.struct("pos", out.alias("out"))))
-    texts = rows.groupBy(*k).agg(joined.alias("o")).select(
-        *k, F.array_join(F.transform("o", lambda p: p["out"]), "").alias("text")
-    )
-    mapping = rows.where("alias IS NOT NULL AND pos = seen").select(
+    found = found.withColumn("alias", alias)
+    by_line = found.groupBy(*own, "ln").agg(F.array_sort(F.collect_list(F.struct("a", "b", "alias"))).alias("edits"))
+    hits = by_line.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("ln", "edits"))).alias("hits"))
+    joined = base.join(hits, own, "left").withColumn("lines", F.when(F.col("hits").isNotNull(), all_lines))
+    text = F.when(F.col("hits").isNotNull(), _with_aliases(F.col("lines"), F.col("hits"))).otherwise(F.col("text"))
+    mapping = found.where((F.col("seen.ln") == F.col("ln")) & (F.col("seen.a") == F.col("a"))).select(
         *k, "rule_id", F.col("value").alias("original"), F.col("alias").alias("renamed")
     )
-    return texts.unionByName(corpus.where(~has).select(*k, "text")), mapping
+    return joined.select(*k, text.alias("text")).unionByName(corpus.where(~has).select(*k, "text")), mapping
 
 
 def rename_entries(renames: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

@@ -251,10 +251,10 @@ _KEEP_REL = (
 _TOP = "rel NOT LIKE '%/%'"
 _FLAG = "coalesce(bool_or({}), FALSE)"
 
-_P2 = "|".join(f"(?:{r.pattern})" for r in RULES[:2])
+_ENTITY = "|".join(f"(?:{r.pattern})" for r in RULES)
 PSEUDO = (
-    f"WITH {DOCS}, hit AS (SELECT path, text, string_split_regex(text, {_q(_P2)}) AS pieces, regexp_extract_all(text, {_q(_P2)}) AS vals FROM docs), "
-    "ent AS (SELECT path, pos, value, CASE WHEN value LIKE '%@%' THEN 'email' ELSE 'ipv4' END AS rule_id FROM (SELECT path, unnest(range(len(vals))) AS pos, unnest(vals) AS value FROM hit)), "
+    f"WITH {DOCS}, hit AS (SELECT path, text, string_split_regex(text, {_q(_ENTITY)}) AS pieces, regexp_extract_all(text, {_q(_ENTITY)}) AS vals FROM docs), "
+    "ent AS (SELECT path, pos, value, CASE WHEN value LIKE '%@%' THEN 'email' WHEN value LIKE '% License' THEN 'license' ELSE 'ipv4' END AS rule_id FROM (SELECT path, unnest(range(len(vals))) AS pos, unnest(vals) AS value FROM hit)), "
     "seen AS (SELECT path, rule_id, value, min(pos) AS pos FROM ent GROUP BY ALL), "
     "alias AS (SELECT path, rule_id, value AS original, concat(upper(rule_id), '_', printf('%03d', row_number() OVER (PARTITION BY path, rule_id ORDER BY pos) - 1)) AS renamed FROM seen)"
 )

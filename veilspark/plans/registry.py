@@ -354,11 +354,11 @@ def apply_renames(spark, sf):
 
 
 def pseudonymize(spark, sf):
-    return rename.pseudonymize(inp.documents(spark, sf), inp.RULES[:2])[0]
+    return rename.pseudonymize(inp.documents(spark, sf), [*inp.RULES, inp.BAD_RULE])[0]
 
 
 def pseudonym_map(spark, sf):
-    return rename.pseudonymize(inp.documents(spark, sf), inp.RULES[:2])[1]
+    return rename.pseudonymize(inp.documents(spark, sf), [*inp.RULES, inp.BAD_RULE])[1]
 
 
 def hash_files(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def corpus_from_table(df: DataFrame, id: str | Sequence[str], text: str = "text"
 
 
 def list_files(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
-    """``(path, length)`` of every regular file below ``root``, hidden files included.
+    """``(path, length)`` of every regular file below ``root``, hidden files included; directory links are skipped.
 
     The tree is walked level by level on the executors. The driver learns only whether a level has
     directories left; each level is checkpointed, so no listing is repeated.
@@ -39,7 +40,7 @@ def list_files(spark: SparkSession, root: str, partitions: int | None = None) ->
     level = spark.createDataFrame([(root.rstrip("/"),)], "path string")
     files: DataFrame | None = None
     while True:
-        listed = level.repartition(n, "path").mapInArrow(list_children, _LISTING_SCHEMA).checkpoint()
+        listed = level.repartition(n, "path").mapInArrow(partial(list_children, root=root), _LISTING_SCHEMA).checkpoint()
         found = listed.where(~F.col("is_dir")).select("path", "length")
         files = found if files is None else files.unionByName(found)
         level = listed.where("is_dir").select("path")
@@ -68,7 +69,7 @@ def read_corpus(
     if where is not None:
         paths = paths.where(where)
     n = partitions or spark.sparkContext.defaultParallelism
-    return paths.repartition(n, "path").mapInArrow(read_bytes, "path string, content binary, length bigint")
+    return paths.repartition(n, "path").mapInArrow(partial(read_bytes, root=root), "path string, content binary, length bigint")
 
 
 def decode_utf8(df: DataFrame, content: str = "content") -> DataFrame:

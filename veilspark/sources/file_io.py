@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Iterator
 
@@ -20,28 +21,34 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def list_children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One directory level; names leave the task in small batches."""
+def _place(inner: str, path: str, root: str) -> str:
+    """Where a listed path is inside the store. Only the root is parsed as a URI: names may hold any character."""
+    return inner.rstrip("/") + path[len(root.rstrip("/")) :] or "/"
+
+
+def list_children(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """One directory level; names leave the task in small batches. Links to directories are not followed."""
     from pyarrow import fs
 
+    store, inner = open_fs(root)
+    local = isinstance(store, fs.LocalFileSystem)
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            store, inner = open_fs(uri)
-            prefix = uri[: len(uri) - len(inner)] if uri.endswith(inner) else ""
-            infos = store.get_file_info(fs.FileSelector(inner, recursive=False))
+        for path in batch.column(0).to_pylist():
+            infos = store.get_file_info(fs.FileSelector(_place(inner, path, root), recursive=False))
             infos = [i for i in infos if i.type in (fs.FileType.File, fs.FileType.Directory)]
+            infos = [i for i in infos if not (local and i.type == fs.FileType.Directory and os.path.islink(i.path))]
             for start in range(0, len(infos), 10_000):
                 part = infos[start : start + 10_000]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "path": [prefix + i.path for i in part],
+                        "path": [f"{path.rstrip('/')}/{i.base_name}" for i in part],
                         "is_dir": [i.type == fs.FileType.Directory for i in part],
                         "length": pa.array([i.size for i in part], pa.int64()),
                     }
                 )
 
 
-def read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_bytes(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
     """File contents; a batch is handed over when it holds enough bytes."""
 
     def flush(paths, contents, lengths):
@@ -50,15 +57,15 @@ def read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     paths, contents, lengths, held = [], [], [], 0
+    store, inner = open_fs(root)
     for batch in batches:
-        for uri in batch.column(0).to_pylist():
-            store, inner = open_fs(uri)
+        for path in batch.column(0).to_pylist():
             try:
-                with store.open_input_stream(inner) as f:
+                with store.open_input_stream(_place(inner, path, root)) as f:
                     data = f.read()
             except OSError:
                 data = None  # unreadable: kept as a row without content
-            paths.append(uri)
+            paths.append(path)
             contents.append(data)
             lengths.append(None if data is None else len(data))
             held += len(data or b"")
