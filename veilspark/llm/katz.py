@@ -254,9 +254,8 @@ class _Answered:
 
     def alpha(self, n: int, rows: pd.DataFrame) -> np.ndarray:
         places = self.contexts(n)
-        sums = np.concatenate([_unpacked(a, "<f8") for a in rows["answer"]]).reshape(-1, 2)
         weight = np.ones(len(self.total[n - 2]))
-        weight[places] = np.maximum(1 - sums[:, 0], 1e-12) / np.maximum(1 - sums[:, 1], 1e-12)
+        weight[places] = np.concatenate([_unpacked(a, "<f8") for a in rows["answer"]])
         weight[self.total[n - 2] == 0] = 1.0
         return weight
 
@@ -275,7 +274,8 @@ def _with_answers(chunk_rows: DataFrame, answers: DataFrame, weights: list[DataF
 
 
 def _weight_sums(chunk_rows: DataFrame, answers: DataFrame, weights: list[DataFrame], model: _Model, n: int, buckets: int) -> DataFrame:
-    """Of each context: the discounted probabilities of the tokens seen after it, and their lower ones, added up."""
+    """The backoff weight of each context: what is left of 1 by the discounted probabilities of the tokens seen after
+    it, over what is left by their lower ones."""
 
     def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = left.to_dict("records")[0]
@@ -294,8 +294,9 @@ def _weight_sums(chunk_rows: DataFrame, answers: DataFrame, weights: list[DataFr
         frame = frame.sort_values("chunk", kind="stable")
         uniq, inverse, ends = _merged(frame)
         own = np.concatenate([_unpacked(s, "<f8").reshape(-1, 2) for s in frame["sums"]])
-        total = np.stack([np.bincount(inverse, weights=own[:, k], minlength=len(uniq)) for k in (0, 1)], axis=1)[inverse]
-        parts = [_packed(np.ascontiguousarray(total[s:e]).reshape(-1)) for s, e in zip([0, *ends], ends, strict=False)]
+        total = np.stack([np.bincount(inverse, weights=own[:, k], minlength=len(uniq)) for k in (0, 1)], axis=1)
+        weight = (np.maximum(1 - total[:, 0], 1e-12) / np.maximum(1 - total[:, 1], 1e-12))[inverse]
+        parts = [_packed(weight[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
         return frame[["chunk", "order", "bucket"]].assign(answer=parts)
 
     asked = _with_answers(chunk_rows, answers, weights, ask, "chunk bigint, order int, bucket int, keys binary, sums binary")
