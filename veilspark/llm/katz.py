@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import BYTE_VALUE, LOWER, as_bytes, mixed, span_hashes, stored, word_bounds
 
 #: Text bytes after which a chunk is closed, and n-grams that a bucket holds about.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_GRAMS = 1 << 20
 #: Counts above this are not discounted.
 LARGEST_DISCOUNTED = 5
