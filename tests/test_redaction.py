@@ -398,3 +398,23 @@ def test_rows_that_share_a_key(spark):
     assert sorted(r.text for r in ctx.redact_file(df).collect()) == want
     bodies = sorted(r.text for r in ctx.redact_brace_bodies(df).collect())
     assert bodies == sorted([t for t in want if t.startswith("function")] + py)
+
+
+def test_release_runs_to_the_gate(spark, corpus, texts, tmp_path):
+    df = corpus(
+        a__py="def _hidden(x):\n    return x\n\ny = _hidden(1)\n",
+        b__js="const _limit = 3;\nshow(_limit);\n",
+        c__py="def broken(:\n",
+        d__txt="plain\n",
+    )
+    done = flows.release(df, str(tmp_path / "out"), policy_text="version: 1")
+    after = texts(done.corpus)
+    assert set(after) == {"a.py", "b.js", "c.py", "d.txt"} and "_hidden" not in after["a.py"] and "_limit" not in after["b.js"]
+    assert after["d.txt"] == "plain\n"
+    assert {r.check: r.passed for r in done.checks.collect()} == dict.fromkeys(
+        ("rows_preserved", "brackets_balanced", "no_secret", "no_private_name"), True
+    )
+    counts = done.counts.first()
+    assert counts.passed and counts[[c for c in done.counts.columns if "renam" in c or "symbol" in c][0]] == 2
+    names = {(r.section, r.name) for r in done.manifest.collect()}
+    assert {("output_files", "a.py"), ("source_files", "d.txt"), ("rename_map", "a.py:_hidden")} <= names

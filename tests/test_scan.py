@@ -129,6 +129,20 @@ def test_builtin_formats(spark, corpus):
     }
 
 
+def test_settings_without_quotes_and_vendor_tokens(spark, corpus):
+    token = "gh" + "p_" + "a1B2" * 9
+    df = corpus(
+        **{"_env": f"DB_PASSWORD=hunter2secret\napi_key: abcd1234efgh\nsecret_key = q9/x+Yz0AAA==  # note\n{token}\n"
+           "token = other_name\ntoken = make_2(x)\npassword: Optional\npassword = 1234\n"}
+    )
+    rows = {(r.line, r.rule_id, r.value) for r in scan.builtin_matches(df).collect()}
+    assert rows == {
+        (1, "builtin/unquoted-keyword", "hunter2secret"), (2, "builtin/unquoted-keyword", "abcd1234efgh"),
+        (3, "builtin/unquoted-keyword", "q9/x+Yz0AAA=="), (4, "builtin/vendor-token", token),
+        (6, "builtin/unquoted-keyword", "make_2"),
+    }
+
+
 def test_stream_equals_batch_and_sees_new_rows_once(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     first = spark.createDataFrame([("a", "CUST-ABC-123456"), ("b", "no")], "path string, text string")
@@ -222,3 +236,11 @@ def test_keys_and_bad_rules(spark):
     assert [r.repo for r in scan.clean_rows(df, found.findings, key=key).collect()] == ["c"]
     assert {r.text for r in scan.mask_text(df, rules).collect()} == {"x [REDACTED:cust]", "clean"}
     assert flows.scan(df, rules, key=key, allow=["CUST-ABC-123456"]).findings.count() == 0
+
+
+def test_written_scan_equals_the_plan(spark, corpus, tmp_path):
+    df = corpus(a__txt="password: 'abcdefgh12'", b__txt="nothing", c__txt="CUST-ABC-123456 CUST-ABC-123456")
+    rules = [Rule("customer", r"CUST-[A-Z]{3}-\d{6}")]
+    stored = flows.write_scan(df, str(tmp_path / "found"), rules)
+    assert sorted(stored.findings.collect()) == sorted(flows.scan(df, rules).findings.collect())
+    assert stored.summary.first().asDict() == {"files_scanned": 3, "findings": 3, "status": "findings"}

@@ -6,13 +6,16 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veilspark.operators.context import context_document, redact_file, strip_docstrings
 from veilspark.operators.diff import diff_context, diff_totals
-from veilspark.operators.files import exclude_paths
-from veilspark.operators.rename import apply_renames, private_definitions, rename_map
+from veilspark.operators.files import exclude_paths, with_language
+from veilspark.operators.manifest import manifest, verify_output
+from veilspark.operators.rename import apply_renames, private_definitions, rename_map, transform_counts
 from veilspark.operators.scan import findings, scan_summary
 from veilspark.rules import Rule
+from veilspark.sources.corpus import write_corpus, write_manifest
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,15 @@ class Obfuscated:
     renames: DataFrame
 
 
+@dataclass(frozen=True)
+class Release:
+    corpus: DataFrame
+    renames: DataFrame
+    counts: DataFrame
+    checks: DataFrame
+    manifest: DataFrame
+
+
 def scan(
     corpus: DataFrame,
     rules: Sequence[Rule] = (),
@@ -40,6 +52,21 @@ def scan(
     return Scan(found, scan_summary(kept, findings(kept, rules, ordered=False, key=key, allow=allow)))
 
 
+def write_scan(
+    corpus: DataFrame,
+    out: str,
+    rules: Sequence[Rule] = (),
+    ignore: Iterable[str] = (),
+    key: Sequence[str] = ("path",),
+    allow: DataFrame | Iterable[str] | None = None,
+) -> Scan:
+    """``scan`` with its findings stored in ``out``: texts are read once, the summary counts stored rows and paths."""
+    kept = exclude_paths(corpus, ignore)
+    findings(kept, rules, key=key, allow=allow).write.parquet(out)
+    found = corpus.sparkSession.read.parquet(out)
+    return Scan(found, scan_summary(kept, found))
+
+
 def context(corpus: DataFrame, by: str | None = None, strict: bool = False, ignore: Iterable[str] = ()) -> DataFrame:
     """Ordered parts of the redacted document(s)."""
     key = [by, "path"] if by else ["path"]
@@ -61,3 +88,31 @@ def obfuscate(
     renames = rename_map(private_definitions(kept, keep))
     source = strip_docstrings(kept) if drop_docstrings else kept
     return Obfuscated(apply_renames(source, renames), renames)
+
+
+def release(
+    corpus: DataFrame,
+    out: str,
+    keep: Iterable[str] = (),
+    rules: Sequence[Rule] = (),
+    policy_text: str | None = None,
+    drop_docstrings: bool = False,
+    ignore: Iterable[str] = (),
+) -> Release:
+    """``obfuscate`` to its end: corpus, renames, checks and manifest are stored below ``out``.
+
+    Each is computed from what is stored before it, so no plan runs twice and the gate reads what will leave.
+    """
+    spark = corpus.sparkSession
+    kept = exclude_paths(corpus, ignore)
+    rename_map(private_definitions(kept, keep)).write.parquet(f"{out}/renames")
+    renames = spark.read.parquet(f"{out}/renames")
+    source = strip_docstrings(kept) if drop_docstrings else kept
+    write_corpus(with_language(apply_renames(source, renames)), f"{out}/corpus")
+    after = spark.read.parquet(f"{out}/corpus")
+    verify_output(source, after, renames, rules).write.parquet(f"{out}/checks")
+    checks = spark.read.parquet(f"{out}/checks")
+    write_manifest(manifest(kept, after, renames, policy_text, checks=checks), f"{out}/manifest")
+    record = spark.read.schema("section string, name string, value string").json(f"{out}/manifest")
+    transform_counts(kept, renames).withColumn("passed", F.lit(checks.where("not passed").isEmpty())).write.parquet(f"{out}/counts")
+    return Release(after, renames, spark.read.parquet(f"{out}/counts"), checks, record)

@@ -107,10 +107,8 @@ NEST = (
     f"run AS (SELECT *, sum(CASE WHEN {_OPEN} THEN 1 WHEN {_CLOSE} THEN -1 ELSE 0 END) "
     "OVER (PARTITION BY path ORDER BY pos) AS r FROM tok), "
     f"lev AS (SELECT path, pos, tok, CAST(r + CASE WHEN {_CLOSE} THEN 1 ELSE 0 END AS BIGINT) AS depth FROM run), "
-    "pair AS (SELECT path, pos, lead(pos) OVER (PARTITION BY path, depth ORDER BY pos) AS close_pos "
-    f"FROM lev WHERE {_OPEN} OR {_CLOSE}), "
-    f"nest AS (SELECT l.path, l.pos, l.tok, l.depth, CASE WHEN {_OPEN.replace('tok', 'l.tok')} THEN p.close_pos END AS close_pos "
-    "FROM lev l LEFT JOIN pair p ON l.path = p.path AND l.pos = p.pos)"
+    f"sided AS (SELECT *, {_OPEN} AS opens, {_OPEN} OR {_CLOSE} AS bracket FROM lev), "
+    "nest AS (SELECT path, pos, tok, depth, CASE WHEN opens THEN lead(pos) OVER (PARTITION BY path, depth, bracket ORDER BY pos) END AS close_pos FROM sided)"
 )
 # JS bodies: a brace after an arrow, or after a parenthesis that no control word opens.
 JS_BODIES = (
@@ -260,6 +258,8 @@ PSEUDO = (
 )
 
 ORACLES: dict[str, str] = {
+    "read_corpus": "SELECT CAST(doc_id AS string) AS path, sha256(concat(coalesce(text, ''), chr(10))) AS sha256, "
+    "CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS length FROM documents",
     "corpus_from_table": "SELECT concat(conv_id, '/', turn) AS path, text FROM conversations",
     "decode_utf8": f"WITH {DOCS} SELECT path, lang <> 'fr' AS decodable, CASE WHEN lang <> 'fr' THEN text END AS text FROM docs",
     "write_findings": f"WITH {DOCS}, {LINES}, {POLICY} {POLICY_FINDINGS}",

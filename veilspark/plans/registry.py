@@ -31,9 +31,12 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 
 def read_corpus(spark, sf):
-    files_ = src.read_corpus(spark, sf, where=F.col("path").endswith(".parquet"))
-    named = files_.withColumn("path", F.regexp_extract("path", r"[^/]+$", 0))
-    return manifest.hash_files(named).join(named.select("path", "length"), "path")
+    """Every document written as a file of its own, below names with blanks and escapes, and read back."""
+    out = _fresh(spark, "files")
+    named = inp.documents(spark, sf).select(F.concat(F.lit("a #"), "path").alias("name"), "text")
+    named.repartition("name").write.partitionBy("name").text(out)
+    found = src.read_corpus(spark, out, where=F.col("path").endswith(".txt"))
+    return found.select(F.regexp_extract("path", r"name=a %23(\d+)/", 1).alias("path"), F.sha2("content", 256).alias("sha256"), "length")
 
 
 def corpus_from_table(spark, sf):

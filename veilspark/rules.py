@@ -36,6 +36,22 @@ BUILTIN_RULES = (
     Rule("json-web-token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", "high"),
     Rule("bearer-token", r"(?i)bearer +([A-Za-z0-9._~+/-]{20,}=*)", "high", 1),
     Rule("basic-auth", r"://[^ :/@]+:([^ :/@]+)@", "high", 1),
+    # Settings without quotes, as in .env, YAML and INI files: a value of letters and a digit, so that code
+    # like `token = other_name` is none.
+    Rule(
+        "unquoted-keyword",
+        r"(?i)(?:password|passwd|secret|token|api_?key)(?:_[A-Za-z0-9]+)? *[:=] *"
+        r"((?:[^ \t\"'()\[\]{}<>,;:=]{4,}[0-9][^ \t\"'()\[\]{}<>,;:=]*|[^ \t\"'()\[\]{}<>,;:=]*[0-9][^ \t\"'()\[\]{}<>,;:=]{4,})=*)",
+        "high",
+        1,
+    ),
+    # Token formats of public services, told by their fixed beginnings.
+    Rule(
+        "vendor-token",
+        r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abpors]-[A-Za-z0-9-]{10,}"
+        r"|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|AccountKey=[A-Za-z0-9+/]{40,}=*)",
+        "high",
+    ),
 )
 
 
