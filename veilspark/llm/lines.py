@@ -1,10 +1,10 @@
-"""Line dedup: later repeats of runs of lines are deleted, within and across documents.
+"""Line dedup: later repeats of passages are deleted, within and across documents.
 
-Method (winnowing after Schleimer, Wilkerson and Aiken): lines are cut into sentence-like units, so that a passage
-has the same units wherever it stands. The minimum over each window of unit-gram hashes is a fingerprint: two
-equal runs of ``UNITS`` units share one for certain. Only fingerprints that occur twice lead on; around
-them the match is extended both ways, by comparing all runs of ``UNITS`` units that hold one. Of equal runs the
-first stays and the later ones are marked; marked units that together have enough words are deleted.
+Method (winnowing after Schleimer, Wilkerson and Aiken): the units are words; in scripts without blanks, characters.
+The minima over each window of unit-gram hashes are fingerprints: two equal runs of ``UNITS`` units share one for
+certain. Only fingerprints that occur twice lead on; around them the match is extended both ways, unit by unit, by
+comparing all runs of ``UNITS`` units that hold one. Of equal runs the first stays and the later ones are marked;
+marked units that together have enough words are deleted.
 """
 
 from __future__ import annotations
@@ -16,19 +16,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import BYTE_VALUE, LOWER, as_bytes, mixed, span_hashes, stored, word_bounds
+from veilspark.llm.common import BYTE_VALUE, IS_SPACE, LOWER, as_bytes, span_hashes, stored, word_bounds
 
 #: Units of a compared run, units of a gram, and grams of a window: UNITS = GRAM + WINDOW - 1.
-UNITS, GRAM = 4, 2
+UNITS, GRAM = 40, 10
 WINDOW = UNITS - GRAM + 1
-#: A unit also ends behind a word whose hash this (a power of two) divides, so that long sentences have inner cuts.
-CUT = 16
 #: Words that a repeated run has at least to be deleted.
 MIN_WORDS = 40
-_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-_NEWLINE = 0x0A
-_STOPS = np.zeros(256, dtype=bool)
-_STOPS[[ord(c) for c in ".!?"]] = True
+#: Lengths of the characters that are units of their own, by their first two bytes: Thai, Lao, Burmese, Khmer, kana and Han.
+_OWN = np.zeros((256, 256), dtype=np.uint8)
+_OWN[0xE0, 0xB8:0xBC] = _OWN[0xE1, 0x80:0x83] = _OWN[0xE1, 0x9E:0xA0] = _OWN[0xE2, 0xBA:0xC0] = _OWN[0xE3:0xEA] = _OWN[0xEF, 0xA4:0xAC] = _OWN[0xEF, 0xBC:0xC0] = 3
+_OWN[0xF0, 0xA0:0xB4] = 4
+
+
+def unit_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, cut around each character of a script without blanks."""
+    starts, ends = word_bounds(data)
+    sizes = _OWN[data[:-1], data[1:]]
+    at = np.flatnonzero(sizes)
+    if not len(at):
+        return starts, ends
+    cuts = np.unique(np.concatenate([at, at + sizes[at]]))
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    cuts = cuts[~IS_SPACE[data[cuts - 1]] & ~IS_SPACE[data[cuts]]]
+    return np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
 
 
 class Units:
@@ -37,39 +48,35 @@ class Units:
     def __init__(self, text: str | None) -> None:
         self.data = as_bytes(text)
         low = LOWER[self.data]
-        starts, ends = word_bounds(low)
-        words = span_hashes(BYTE_VALUE[low], starts, ends)
-        last = np.zeros(len(words), dtype=bool)
-        if len(words):
-            lines = np.concatenate([[0], np.cumsum(self.data == _NEWLINE)])
-            last[:-1] = lines[starts[1:]] > lines[ends[:-1]]
-            last |= _STOPS[self.data[ends - 1]] | (words & np.uint64(CUT - 1) == 0)
-            last[-1] = True
-        stops = np.flatnonzero(last) + 1
-        firsts = np.concatenate([[0], stops[:-1]]).astype(np.int64) if len(stops) else stops
-        self.hashes = span_hashes(words | np.uint64(1), firsts, stops)
-        self.words = stops - firsts
-        self.starts, self.ends = (starts[firsts], ends[stops - 1]) if len(stops) else (firsts, stops)
+        self.starts, self.ends = unit_bounds(low)
+        self.hashes = span_hashes(BYTE_VALUE[low], self.starts, self.ends)
+        self.words = np.ones(len(self.hashes), dtype=np.int64)
 
 
 def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n hashes."""
-    if len(hashes) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = hashes[: len(hashes) - n + 1].copy()
-    for k in range(1, n):
-        out = mixed(out * _ODD + hashes[k : len(hashes) - n + 1 + k])
-    return out
+    starts = np.arange(max(0, len(hashes) - n + 1))
+    return span_hashes(hashes | np.uint64(1), starts, starts + n)
+
+
+def _lowest(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of each window of n values."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        x = np.minimum(x[:-step], x[step:])
+        size += step
+    return x
 
 
 def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the grams that are the (first) minimum of some window."""
+    """Hashes and places of the grams that are a minimum of some window."""
     grams = _runs(hashes, GRAM)
     if len(grams) < WINDOW:
         return grams[:0], np.zeros(0, dtype=np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    chosen = np.zeros(len(grams), dtype=bool)
-    chosen[windows.argmin(axis=1) + np.arange(len(windows))] = True
+    # A gram is a minimum of some window if it is the greatest of the minima of the windows that hold it.
+    lows = ~np.concatenate([np.zeros(WINDOW - 1, dtype=np.uint64), _lowest(grams, WINDOW), np.zeros(WINDOW - 1, dtype=np.uint64)])
+    chosen = ~_lowest(lows, WINDOW) == grams
     return grams[chosen], np.flatnonzero(chosen)
 
 
@@ -118,12 +125,12 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             hashes = [Units(t).hashes for t in batch["text"]]
             found = [fingerprints(h) for h in hashes]
             yield pd.DataFrame({
-                "row": batch["row"], "key": batch["key"], "units": [h.tobytes() for h in hashes],
+                "row": batch["row"],
                 "prints": [f.view(np.int64) for f, _ in found], "at": [p.astype(np.int32) for _, p in found],
             })
 
     rows = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    units = stored(rows.mapInPandas(cut, f"row bigint, key {kind}, units binary, prints array<bigint>, at array<int>"), "units")
+    units = stored(rows.mapInPandas(cut, "row bigint, prints array<bigint>, at array<int>"), "units")
     anchors = units.select("row", F.explode(F.arrays_zip("prints", "at")).alias("x")).select("row", F.col("x.prints").alias("print"), F.col("x.at").alias("at"))
     twice = anchors.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     # Stored, so that the next join reads two plain exchanges and a frequent gram can be split between tasks.
@@ -133,16 +140,16 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for row, k, data, hits in zip(batch["row"], batch["key"], batch["units"], batch["hits"], strict=True):
-                hashes = _runs(np.frombuffer(data, dtype=np.uint64), UNITS)
+            for row, k, data, hits in zip(batch["row"], batch["key"], batch["text"], batch["hits"], strict=True):
+                hashes = _runs(Units(data).hashes, UNITS)
                 reach = np.unique(np.add.outer(np.asarray(hits, dtype=np.int64), np.arange(GRAM - UNITS, 1)))
                 reach = reach[(reach >= 0) & (reach < len(hashes))]
                 out.append(pd.DataFrame({"run": hashes[reach].view(np.int64), "row": row, "key": k, "at": reach.astype(np.int32)}))
             if out:
                 yield pd.concat(out, ignore_index=True).astype({"key": batch["key"].dtype})
 
-    # Repeated rows are the same places once more: they change neither the first of a kind nor what comes later.
-    around = units.select("row", "key", "units").join(places, "row")
+    # Texts with a hit are cut again, so that no hash of each word is stored. Repeated rows are the same places once more: they change neither the first of a kind nor what comes later.
+    around = rows.join(places, "row")
     runs = stored(around.mapInPandas(extend, f"run bigint, row bigint, key {kind}, at int"), "runs")
     first = runs.groupBy("run").agg(F.min(F.struct("key", "row", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
     first = stored(first, "firsts")
@@ -155,13 +162,13 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """``docs`` with later repeats of runs of at least ``min_words`` words deleted from the texts.
 
-    A run of ``UNITS`` units or more that occurred earlier (in a smaller key, or before in the same text) goes,
+    A run of ``UNITS`` words or more that occurred earlier (in a smaller key, or before in the same text) goes,
     wherever in a line it stands; its first occurrence stays. No row is dropped: a text of which all is repeated
     becomes empty. Comparison ignores the case of A-Z and the amount of white space. Null texts stay null. All columns stay;
     ``removed`` names a further one for the number of deleted words.
 
     Equal runs are never paired up: each is compared with the first of its kind, and both the smallest place and
-    the counts are combined before the shuffle. A text travels once, in the last join.
+    the counts are combined before the shuffle. A text travels twice: to its hits, and in the last join.
     """
     marks = repeated_runs(docs, key, text)
     rows = docs.withColumn("__row", F.xxhash64(key, text)).join(marks.toDF("__row", "__places", "__own"), "__row", "left")
