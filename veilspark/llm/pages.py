@@ -1,8 +1,8 @@
 """Main text of HTML pages by two passes of block rules.
 
 Method (after jusText): blocks are classified by link density, length and stop-word density; short blocks that
-this leaves open inherit the label of the nearest decided neighbour. Elements whose name, role or class says
-that they hold no main text decide their blocks beforehand.
+this leaves open inherit the label of the nearest decided neighbour. Elements whose name or role says
+that they hold no main text decide their blocks beforehand, and so do class words unless most good text is below them.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ OUTSIDE_WORDS = frozenset(
     "comments commentlist disqus respond replies reply discussion share sharing social related recommended recommendations "
     "trending popular pagination pager copyright legal disclaimer search skip tags".split()
 )
+#: First parts of class names that tell what a page has or is filed under, not what the element is.
+STATES = frozenset("has no with without category".split())
 INSIDE = frozenset(["article", "main"])
 # The most frequent function words of a few languages.
 STOP_WORDS = frozenset(
@@ -58,39 +60,44 @@ SHORT, LONG, STOPS, LINKS = 40, 140, 0.12, 0.4
 
 
 class _Element:
-    __slots__ = ("inside", "name", "outside")
+    __slots__ = ("inside", "name", "outside", "worded")
 
-    def __init__(self, name: str, outside: bool, inside: bool) -> None:
-        self.name, self.outside, self.inside = name, outside, inside
+    def __init__(self, name: str, outside: bool, inside: bool, worded: tuple[int, ...] = ()) -> None:
+        self.name, self.outside, self.inside, self.worded = name, outside, inside, worded
 
 
 class Block:
-    """Text of one block: its pieces, how much of it is link text, and where it stands."""
+    """Text of one block: its pieces, how much of it is link text, and where it stands.
 
-    __slots__ = ("good", "heading", "inside", "links", "outside", "text")
+    ``worded`` are the places of the elements around it whose class or id has a word of ``OUTSIDE_WORDS``.
+    """
+
+    __slots__ = ("good", "heading", "inside", "links", "outside", "text", "worded")
 
-    def __init__(self, text: str, links: float, outside: bool, inside: bool, heading: bool) -> None:
+    def __init__(self, text: str, links: float, outside: bool, inside: bool, heading: bool, worded: tuple[int, ...] = ()) -> None:
+        self.worded = worded
         self.text, self.links, self.outside, self.inside, self.heading = text, links, outside, inside, heading
         self.good: bool | None = None
 
 
-def _marked(name: str, attributes: str) -> bool:
-    """Whether the element's name, role or class says that it holds no main text."""
+def _marked(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element's name or role says that it holds no main text, and whether a class or id word does."""
     if name in OUTSIDE:
-        return True
+        return True, False
     if name in ("html", "body") or "=" not in attributes and "hidden" not in attributes.lower():
-        return False
+        return False, False
+    worded = False
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" and name not in INSIDE:
-            return True
+            return True, False
         if key == "role" and not OUTSIDE_ROLES.isdisjoint(value.lower().split()):
-            return True
-        if key in ("class", "id") and name != "main":
-            words = _SPLIT.split(_CAMEL.sub("-", value).lower())
-            if not OUTSIDE_WORDS.isdisjoint(words) and not (name in HEADINGS or name == "a"):
-                return True
-    return False
+            return True, False
+        if key in ("class", "id") and name != "main" and not (name in HEADINGS or name == "a"):
+            for one in value.split():
+                words = _SPLIT.split(_CAMEL.sub("-", one).lower())
+                worded |= words[0] not in STATES and not OUTSIDE_WORDS.isdisjoint(words)
+    return False, worded
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,7 +116,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 inner = " ".join(html.unescape("".join(linked)).split())
-                found.append(Block(text, len(inner) / len(text), scope.outside, scope.inside, heading))
+                found.append(Block(text, len(inner) / len(text), scope.outside, scope.inside, heading, scope.worded))
         pieces, linked = [], []
         heading = False
 
@@ -207,7 +214,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in HEADINGS:
             heading = True
-        outside = scope.outside or _marked(name, m[3]) or name == "header" and not scope.inside
+        marked, word = _marked(name, m[3])
+        word = word and not (scope.outside or marked)
+        if word and not block:
+            marked = True
+        outside = scope.outside or marked or name == "header" and not scope.inside
         inside = scope.inside or name in INSIDE and not outside
         if block or outside != scope.outside or name == "a":
             if outside and not scope.outside and not block and name != "a":
@@ -216,13 +227,44 @@ def blocks(page: str) -> list[Block]:
                 close_at = n if end is None else page.find(">", end.start())
                 at = n if close_at < 0 else close_at + (end is not None)
                 continue
-            scope = _Element(name, outside, inside)
+            scope = _Element(name, outside, inside, (*scope.worded, tag) if word and block else scope.worded)
             stack.append(scope)
             links += name == "a"
     close_block()
     return found
 
 
+def _content(b: Block) -> bool | None:
+    """The label that a block's own text gives it."""
+    if b.links > LINKS and not b.heading:
+        return False
+    if len(b.text) > LONG:
+        return True
+    if len(b.text) > SHORT:
+        words = _WORD.findall(b.text.lower())
+        if sum(w in STOP_WORDS for w in words) >= STOPS * max(1, len(words)):
+            return True
+    return None
+
+
+def _settle_words(found: list[Block]) -> None:
+    """Blocks under a class or id word are outside, unless its element holds over half of the page's good text.
+
+    Where an article or main element without such a word has good text, it is the main text and all words hold.
+    """
+    good = [b for b in found if not b.outside and _content(b)]
+    held: dict[int, int] = {}
+    for b in good:
+        for place in b.worded:
+            held[place] = held.get(place, 0) + len(b.text)
+    most = sum(len(b.text) for b in good) / 2
+    plain = any(b.inside and not b.worded for b in good)
+    for b in found:
+        if any(plain or held.get(place, 0) <= most for place in b.worded):
+            b.outside = True
+            b.inside = False
+
+
 def classify(found: list[Block]) -> None:
     """Sets ``good`` of each block.
 
@@ -232,17 +274,9 @@ def classify(found: list[Block]) -> None:
     element only neighbours inside count, and blocks that none decides are good there; so are they on
     a page where nothing at all is decided as good.
     """
+    _settle_words(found)
     for b in found:
-        if b.outside:
-            b.good = False
-        elif b.links > LINKS and not b.heading:
-            b.good = False
-        elif len(b.text) > LONG:
-            b.good = True
-        elif len(b.text) > SHORT:
-            words = _WORD.findall(b.text.lower())
-            if sum(w in STOP_WORDS for w in words) >= STOPS * max(1, len(words)):
-                b.good = True
+        b.good = False if b.outside else _content(b)
     decided = [b.good for b in found]
     for k, b in enumerate(found):
         if decided[k] is not None:
