@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -13,16 +14,22 @@ _MASK = (1 << 64) - 1
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_FIRST, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written once to the shared folder of the cluster and read back: its lineage ends here."""
+def stored(df: DataFrame, label: str, compression: str = "zstd", rows: int = 0) -> DataFrame:
+    """``df`` written once to the shared folder of the cluster and read back: its lineage ends here.
+
+    ``rows`` bounds the rows of a file, where rows are large.
+    """
     folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(folder)
+    df.write.option("compression", compression).option("maxRecordsPerFile", rows).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -65,6 +72,44 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """:func:`span_hashes` of bytes, by blocks: a long text takes little more memory than its words' places.
+
+    A span longer than a block has a hash of its own kind, wherever it stands.
+    """
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        low = int(starts[at])
+        stop = int(np.searchsorted(ends, low + BLOCK, side="right"))
+        if stop == at:
+            out[at] = int.from_bytes(hashlib.blake2b(data[low : ends[at]], digest_size=8).digest(), "little")
+            at += 1
+            continue
+        high = int(ends[stop - 1])
+        out[at:stop] = span_hashes(BYTE_VALUE[data[low:high]], starts[at:stop] - low, ends[at:stop] - low)
+        at = stop
+    return out
+
+
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n hashes, by doubling."""
+    if n < 1 or len(hashes) < n:
+        return hashes[:0]
+    power, step, out, size = mixed(hashes), 1, None, 0
+    while True:
+        if n & step:
+            if out is None:
+                out = power
+            else:
+                k = len(hashes) - size - step + 1
+                out = mixed(out[:k] * _FIRST + power[size : size + k] * _SECOND)
+            size += step
+        if size == n:
+            return out
+        power = mixed(power[:-step] * _FIRST + power[step:] * _SECOND)
+        step *= 2
+
+
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs without ASCII white space) of UTF-8 bytes."""
     edges = np.ones(len(data) + 2, dtype=bool)
@@ -79,5 +124,4 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of lower-cased bytes, in order."""
-    starts, ends = word_bounds(data)
-    return span_hashes(BYTE_VALUE[data], starts, ends)
+    return byte_hashes(data, *word_bounds(data))

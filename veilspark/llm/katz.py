@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import BYTE_VALUE, LOWER, as_bytes, mixed, span_hashes, stored, word_bounds
+from veilspark.llm.common import LOWER, as_bytes, byte_hashes, mixed, stored, word_bounds
 
 #: Text bytes after which a chunk is closed, and n-grams that a bucket holds about.
 CHUNK_BYTES = 12 << 20
@@ -73,7 +73,7 @@ def chunks(docs: DataFrame, key: str, text: str, trains: str, size: int = CHUNK_
             for k, t, on in zip(batch["key"].astype(object).where(batch["key"].notna(), None), batch["text"], batch["trains"], strict=True):
                 data = LOWER[as_bytes(t)]
                 starts, ends = word_bounds(data)
-                hashes.append(np.append(span_hashes(BYTE_VALUE[data], starts, ends), END))
+                hashes.append(np.append(byte_hashes(data, starts, ends), END))
                 keys.append(k)
                 trains.append(bool(on))
                 held += len(data) + 1

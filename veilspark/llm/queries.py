@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, decontaminate, katz, language, lines, packing, pages, sharding, simhash, topk
+from veilspark.llm import chat, decontaminate, katz, language, lines, packing, pages, periods, phrases, recompression, sharding, simhash, topk
 from veilspark.llm.common import table
 
 #: The SQL conditions that keep rows apart from training.
@@ -93,9 +95,49 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def planted_loop(doc_id: int | None, ids: np.ndarray) -> np.ndarray:
+    """The contract's change of a tenth of all texts: from a place on, words repeat with a period that the id gives."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not len(ids):
+        return ids
+    g = h // 10
+    at = g % len(ids)
+    period = 1 + (len(ids) - at) // (3 + g % 8)
+    return np.concatenate([ids[:at], ids[at + np.arange(len(ids) - at) % period]])
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, and digests of the texts cut to first periods."""
+    found = periods.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=planted_loop)
+    # The longest run: ties go to the smallest start, then period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the windows of 35 words that start anywhere else."""
+    done = recompression.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_line_dedup, op3_language_id, op4_main_text, op5_decontamination, op6_packing, op7_simhash, op8_katz, op9_topk, op10_sharding)
+    for f in (op1_chat, op2_line_dedup, op3_language_id, op4_main_text, op5_decontamination, op6_packing, op7_simhash, op8_katz, op9_topk, op10_sharding, op11_phrases, op12_periods, op13_substring_dedup)
 }
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
@@ -123,4 +165,69 @@ pairs AS (
   FROM sound q, sound c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces),
+lengths AS (SELECT lang, sum(len(words)) AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase
+  FROM worded, (SELECT unnest(range(1, 6)) AS k) ks, unnest(range(1, len(words) - k + 2)) AS places(i)),
+counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS words FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, i, array_to_string(c.words[1 : i], ' ') AS head, array_to_string(c.words[i + 1 : ], ' ') AS tail
+  FROM counts c, unnest(range(1, c.k)) AS places(i) WHERE c.k > 1),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.k, cuts.a, i, h.f AS l, t.f AS r, CAST(n AS BIGINT) AS n,
+    (1000::HUGEINT * cuts.a * n::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM cuts JOIN counts h ON h.lang = cuts.lang AND h.phrase = head JOIN counts t ON t.lang = cuts.lang AND t.phrase = tail
+  JOIN lengths ON lengths.lang = cuts.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (
+  SELECT c.lang, array_to_string(c.words[i : i + m - 1], ' ') AS phrase, max(c.f) AS cover
+  FROM counts c, (SELECT unnest(range(2, 5)) AS m) ms, unnest(range(1, c.k - m + 2)) AS places(i) WHERE m < c.k GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
+    # DuckDB has no CRC: each character is eight steps of the shift register.
+    "op12_periods": r"""
+WITH hashed AS (
+  SELECT doc_id, text, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT), 1) AS h,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+planned AS (SELECT row_number() OVER () AS row, doc_id, words, len(words) AS n, h % 10 = 0 AND len(words) > 0 AS loops, h // 10 AS g FROM hashed),
+placed AS (
+  SELECT *, CASE WHEN loops THEN g % n END AS a, CASE WHEN loops THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM planned),
+edited AS (
+  SELECT row, doc_id, n, CASE WHEN loops
+    THEN list_concat(words[1 : a], list_transform(range(a, n), lambda i: words[1 + a + (i - a) % p])) ELSE words END AS words FROM placed),
+word AS (SELECT row, n, unnest(range(0, n)) AS i, unnest(words) AS word FROM edited),
+pairs AS (
+  SELECT x.row, y.i - x.i AS q, x.i FROM word x JOIN word y ON x.row = y.row AND x.word = y.word AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs) GROUP BY row, q, island),
+runs AS (SELECT row, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY row, start, length),
+summed AS (
+  SELECT row, count(*) AS n_runs, arg_max(struct_pack(start, length, period), struct_pack(a := length, b := -start, c := -period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS words FROM word ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM edited LEFT JOIN summed USING (row) LEFT JOIN kept USING (row)""",
+    "op13_substring_dedup": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (
+  SELECT row, i, array_to_string(words[i + 1 : i + 35], ' ') AS w FROM (SELECT row, words, unnest(range(0, len(words) - 34)) AS i FROM docs)),
+repeated AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY w) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS i FROM repeated),
+word AS (SELECT row, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM docs),
+kept AS (SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words FROM word ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, CAST(len(docs.words) AS BIGINT) AS n_words, CAST(len(docs.words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (row)""",
 }
