@@ -11,11 +11,11 @@ from veilspark.functions.paths import language
 from veilspark.operators.context import ENGINE
 from veilspark.operators.js_code import reference_units
 from veilspark.operators.rename import _python_references, rename_entries
-from veilspark.operators.scan import has_match
+from veilspark.operators.scan import has_match, has_secret
 from veilspark.operators.files import route_files
 from veilspark.operators.splicing import by_key
 from veilspark.operators.text_tables import KEY, bracket_error
-from veilspark.rules import Rule
+from veilspark.rules import Rule, check_rules
 
 
 def hash_files(corpus: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -75,16 +75,23 @@ def verify_manifest(record: DataFrame, corpus: DataFrame, section: str = "output
 
 
 def verify_output(
-    before: DataFrame, after: DataFrame, renames: DataFrame, rules: Sequence[Rule] = (), key: Sequence[str] = KEY
+    before: DataFrame,
+    after: DataFrame,
+    renames: DataFrame,
+    rules: Sequence[Rule] = (),
+    key: Sequence[str] = KEY,
+    entropy: bool = True,
 ) -> DataFrame:
     """The gate as data: one row ``(check, failures, passed)`` per named predicate.
 
     ``rows_preserved`` compares the row counts; ``no_private_name`` counts references to original names left
-    in the output; ``no_secret`` counts output rows in which a rule still matches; ``brackets_balanced``
-    counts rows that became unbalanced. Each input is reduced to one row of sums. Pass the written output:
+    in the output; ``no_secret`` counts output rows in which a rule, a built-in detector or (``entropy``) a dense string
+    is found; ``brackets_balanced`` counts rows that became unbalanced. Rules that ``check_rules`` rejects are left out. Each input is reduced to one row of sums. Pass the written output:
     it is read for the row checks and for the names.
     """
     k = list(key)
+    rules = check_rules(before.sparkSession, rules)[0]
+    secret = has_secret(F.col("text"), entropy) | has_match(F.col("text"), rules)
     lang, text = language(F.col("path")), F.col("text")
     error = F.when(lang == "python", bracket_error(text, True)).when(lang.isNotNull(), bracket_error(text, False))
     bad = error.isNotNull().cast("int")
@@ -110,7 +117,7 @@ def verify_output(
             sums(
                 after,
                 rows_preserved=F.lit(-1),
-                no_secret=has_match(F.col("text"), rules).cast("int"),
+                no_secret=F.coalesce(secret, F.lit(False)).cast("int"),
                 brackets_balanced=bad,
             )
         )

@@ -42,10 +42,15 @@ def _preview(v: str) -> str:
     )
 
 
+def _found(r) -> str:
+    values = f"regexp_extract_all(line, {_q(r.pattern)}, {r.group})"
+    return values if r.unless is None else f"list_filter({values}, lambda v: NOT regexp_matches(v, {_q(r.unless)}))"
+
+
 def _matches(rules, prefix: str, name: str) -> str:
     parts = [
         f"SELECT path, ln AS line, {_q(r.severity)} AS severity, {_q(prefix + '/' + r.id)} AS rule_id, {_q(r.id)} AS rule, "
-        f"unnest(regexp_extract_all(line, {_q(r.pattern)}, {r.group})) AS value FROM lines"
+        f"unnest({_found(r)}) AS value FROM lines"
         for r in rules
     ]
     return f"{name} AS (" + " UNION ALL ".join(parts) + ")"
@@ -359,7 +364,10 @@ ORACLES: dict[str, str] = {
     "rsig AS (SELECT *, lag(tok) OVER (PARTITION BY path ORDER BY pos) AS prev FROM rtok), "
     "gone AS (SELECT path, original FROM renames r WHERE NOT EXISTS (SELECT 1 FROM renames n WHERE n.path = r.path AND n.renamed = r.original)), "
     "residual AS (SELECT count(*) AS n FROM rsig s JOIN gone g ON g.path = s.path AND g.original = s.tok WHERE coalesce(s.prev, '') <> '.'), "
-    f"secret AS (SELECT count(*) FILTER (WHERE {' OR '.join(f'regexp_matches(text, {_q(r.pattern)})' for r in RULES)}) AS n FROM renamed), "
+    f"cut AS (SELECT path, string_split_regex(text, '{_BREAK}') AS parts FROM renamed), lines AS (SELECT path, unnest(parts) AS line FROM cut), "
+    f"dirty AS (SELECT path FROM lines WHERE {' OR '.join(f'len({_found(r)}) > 0' for r in (*RULES, *BUILTIN_RULES))} UNION SELECT path FROM (SELECT path, "
+    "unnest(regexp_extract_all(line, '[A-Za-z0-9+/=_-]{20,}')) AS v FROM lines) WHERE (SELECT entropy(ch) FROM (SELECT unnest(string_split(v, '')) AS ch)) > "
+    "CASE WHEN regexp_matches(v, '^[0-9A-Fa-f]+$') THEN 3.0 ELSE 4.5 END), secret AS (SELECT count(*) AS n FROM dirty), "
     f"off_before AS (SELECT count(*) AS n FROM (SELECT path FROM tok GROUP BY path HAVING sum(CASE WHEN {_OPEN} THEN 1 WHEN {_CLOSE} THEN -1 ELSE 0 END) <> 0)), "
     f"off_after AS (SELECT count(*) AS n FROM (SELECT path FROM rtok GROUP BY path HAVING sum(CASE WHEN {_OPEN} THEN 1 WHEN {_CLOSE} THEN -1 ELSE 0 END) <> 0)), "
     "res AS (SELECT 'rows_preserved' AS c, CAST(abs((SELECT count(*) FROM code) - (SELECT count(*) FROM renamed)) AS BIGINT) AS failures "

@@ -5,28 +5,39 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.regex_check import Check, check_pattern
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is searched line by line; ``group`` selects the part reported as the value."""
+    """``pattern`` is searched line by line; ``group`` selects the part reported as the value.
+
+    A value in which ``unless`` is found is no match.
+    """
 
     id: str
     pattern: str
     severity: str = "medium"
     group: int = 0
+    unless: str | None = None
 
 
+# Characters of a setting's value without quotes, and those of them that are no digit.
+_VALUE = r"[^ \t\"'()\[\]{}<>,;:=]"
+_PLAIN = r"[^ \t\"'()\[\]{}<>,;:=0-9]"
+
 # Public credential formats. No look-around, so that the same text works in RE2 engines; each
-# begins with fixed text, so that a line of millions of characters is searched in linear time.
+# begins with fixed text and has one way to match, so that a line of millions of characters is searched in linear time.
 BUILTIN_PACK = "builtin"
 BUILTIN_ACTION = "Rotate this credential and remove it from source."
 BUILTIN_RULES = (
     Rule("aws-access-key", r"(?:AKIA|ASIA)[0-9A-Z]{16}", "high"),
-    Rule("private-key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "high"),
+    Rule("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "high"),
     Rule(
         "keyword",
         r"(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']([^\"' ]{8,})[\"']",
@@ -36,14 +47,16 @@ BUILTIN_RULES = (
     Rule("json-web-token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*", "high"),
     Rule("bearer-token", r"(?i)bearer +([A-Za-z0-9._~+/-]{20,}=*)", "high", 1),
     Rule("basic-auth", r"://[^ :/@]+:([^ :/@]+)@", "high", 1),
-    # Settings without quotes, as in .env, YAML and INI files: a value of letters and a digit, so that code
-    # like `token = other_name` is none.
+    # Settings without quotes, as in .env, YAML and INI files: a value of a digit and four more characters, so that
+    # code like `token = other_name` is none, nor a call or a dotted name.
     Rule(
         "unquoted-keyword",
         r"(?i)(?:password|passwd|secret|token|api_?key)(?:_[A-Za-z0-9]+)? *[:=] *"
-        r"((?:[^ \t\"'()\[\]{}<>,;:=]{4,}[0-9][^ \t\"'()\[\]{}<>,;:=]*|[^ \t\"'()\[\]{}<>,;:=]*[0-9][^ \t\"'()\[\]{}<>,;:=]{4,})=*)",
+        rf"((?:{_PLAIN}{{4,}}[0-9]{_VALUE}*|{_PLAIN}{{3}}[0-9]{_VALUE}+|{_PLAIN}{{2}}[0-9]{_VALUE}{{2,}}|{_PLAIN}[0-9]{_VALUE}{{3,}}|[0-9]{_VALUE}{{4,}})=*)"
+        r"(?:[ \t\"')\[\]{}<>,;:]|$)",
         "high",
         1,
+        r"^[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+$",
     ),
     # Token formats of public services, told by their fixed beginnings.
     Rule(
@@ -58,8 +71,10 @@ BUILTIN_RULES = (
 def java_pattern(pattern: str, unicode_classes: bool = True) -> str:
     """Policy patterns are written for Python; translate the few spellings Java does not share.
 
-    ``unicode_classes`` makes ``\\w`` and ``\\d`` Unicode-aware as they are in Python.
+    The pattern runs in its safe form (:func:`check_pattern`). ``unicode_classes`` makes ``\\w`` and ``\\d``
+    Unicode-aware as they are in Python.
     """
+    pattern = check_pattern(pattern).pattern
     # Java names have no underscore, so one is spelled out.
     name = lambda m: m[1].replace("_", "U95")
     p = re.sub(r"\(\?P<([A-Za-z_]\w*)>", lambda m: f"(?<x{name(m)}>" if "_" in m[1] else f"(?<{m[1]}>", pattern)
@@ -89,22 +104,39 @@ def rules_from_frame(rules: DataFrame) -> list[Rule]:
 
 
 def check_rules(spark: SparkSession, rules) -> tuple[list[Rule], list[Rule]]:
-    """Split rules into (valid, rejected) by compiling each pattern with the engine that will run it.
+    """Split rules into (valid, rejected). Rejected are those that can't be read, or could stall or kill a task
+    (:func:`rule_reasons` tells why); the others are compiled by the engine that will run them.
 
     All are tried at once; only if one fails they are tried one by one.
     """
-    rules, ok, rejected = list(rules), [], []
+    rules, rejected = list(rules), []
+    ok = [r for r in rules if check_pattern(r.pattern).status != "refused"]
     try:
-        if rules:
-            spark.range(1).select([F.lit("x").rlike(java_pattern(r.pattern)) for r in rules]).head()
-        return rules, []
+        if ok:
+            spark.range(1).select([F.lit("x").rlike(java_pattern(r.pattern)) for r in ok]).head()
+        return ok, [r for r in rules if r not in ok]
     except PySparkException:
         pass
-    for rule in rules:
+    ok, tried = [], ok
+    for rule in tried:
         try:
             # Folded by the optimizer: a bad pattern is refused before any task starts.
             spark.range(1).select(F.lit("x").rlike(java_pattern(rule.pattern))).head()
             ok.append(rule)
         except PySparkException:
             rejected.append(rule)
-    return ok, rejected
+    return ok, [r for r in rules if r not in ok]
+
+
+def rule_reasons(rules: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """``rules`` with ``status`` (ok, rewritten, slow or refused), ``reason`` and ``runs_as``, the pattern that is searched.
+
+    A pattern is judged alone, in the row: a table of rules of any size is checked where it lies. A null pattern is refused.
+    """
+
+    @F.pandas_udf("status string, reason string, runs_as string")
+    def judged(patterns: pd.Series) -> pd.DataFrame:
+        found = [check_pattern(p) if p is not None else Check("refused", "malformed: no pattern", "") for p in patterns]
+        return pd.DataFrame({"status": [c.status for c in found], "reason": [c.reason for c in found], "runs_as": [c.pattern for c in found]})
+
+    return rules.withColumn("__judged", judged(pattern)).select(*[F.col(c) for c in rules.columns], "__judged.*")
