@@ -19,6 +19,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,14 @@ class _Chunk:
         return groups[at:], words
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i4").tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i4")
+
+
 def _row(chunk: int, lang: str, held: _Chunk) -> dict:
     groups = np.concatenate(held.parts)
     words = list(held.numbers)
@@ -71,17 +80,20 @@ def _row(chunk: int, lang: str, held: _Chunk) -> dict:
     n = int(counts[1:].sum())
     counts[0] = 0
     at = np.flatnonzero(counts)
-    return {"chunk": chunk, "lang": lang, "n": n, "places": None, "groups": groups, "idx": at, "words": [words[k] for k in at.tolist()], "counts": counts[at]}
+    return {"chunk": chunk, "lang": lang, "n": n, "groups": _packed(groups), "idx": at, "words": [words[k] for k in at.tolist()], "counts": counts[at]}
 
 
-_FIRST = "chunk bigint, lang string, n bigint, groups array<int>, idx array<int>, words array<binary>, counts array<bigint>"
-_NEXT = "chunk bigint, places array<int>, groups array<int>, lefts array<bigint>, rights array<bigint>, counts array<bigint>"
-_LISTS = {"places": pa.int32(), "groups": pa.int32(), "idx": pa.int32(), "words": pa.binary(), "counts": pa.int64(), "lefts": pa.int64(), "rights": pa.int64()}
+_FIRST = "chunk bigint, lang string, n bigint, groups binary, idx array<int>, words array<binary>, counts array<int>"
+_NEXT = "chunk bigint, places binary, groups binary, lefts array<bigint>, rights array<bigint>, counts array<int>"
+_LISTS = {"idx": pa.int32(), "words": pa.binary(), "counts": pa.int32(), "lefts": pa.int64(), "rights": pa.int64()}
+_PLAIN_TYPES = {"lang": pa.string(), "places": pa.binary(), "groups": pa.binary()}
+#: A chunk's number and a group's number in it make a place: bits of the task, of its chunks, and of their groups.
+_CHUNK_BITS, _IDX_BITS = 17, 24
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
     columns = [c.split()[0] for c in schema.split(", ")]
-    arrays = [pa.array([r[c] for r in rows], pa.list_(_LISTS[c]) if c in _LISTS else pa.string() if c == "lang" else pa.int64()) for c in columns]
+    arrays = [pa.array([r[c] for r in rows], pa.list_(_LISTS[c]) if c in _LISTS else _PLAIN_TYPES.get(c, pa.int64())) for c in columns]
     return pa.RecordBatch.from_arrays(arrays, columns)
 
 
@@ -93,7 +105,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
     def done(lang: str, held: _Chunk) -> pa.RecordBatch:
         nonlocal made
         made += 1
-        return _batch([_row(part << 33 | made, lang, held)], _FIRST)
+        return _batch([_row(part << _CHUNK_BITS | made, lang, held)], _FIRST)
 
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
@@ -117,29 +129,29 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield done(lang, held)
 
 
+def _places(one: pa.RecordBatch, idx: np.ndarray) -> pa.Array:
+    return pa.array((one.column("chunk")[0].as_py() << _IDX_BITS) + idx.astype(np.int64))
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word of a chunk: ``(chunk, idx, lang, word, n)``."""
+    """One row per word of a chunk: ``(place, lang, word, n)``."""
     for batch in batches:
         for row in range(batch.num_rows):
             one = batch.slice(row, 1)
-            words = one.column("words").flatten()
-            size = len(words)
+            idx, words = one.column("idx").flatten().to_numpy(zero_copy_only=False), one.column("words").flatten()
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(one.column("chunk")[0], size), one.column("idx").flatten(), pa.repeat(one.column("lang")[0], size), words, one.column("counts").flatten()],
-                ["chunk", "idx", "lang", "word", "n"],
+                [_places(one, idx), pa.repeat(one.column("lang")[0], len(words)), words, one.column("counts").flatten()], ["place", "lang", "word", "n"]
             )
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per group of a chunk: ``(chunk, idx, left, right, n)``."""
+    """One row per group of a chunk: ``(place, left, right, n)``."""
     for batch in batches:
         for row in range(batch.num_rows):
             one = batch.slice(row, 1)
             lefts = one.column("lefts").flatten()
-            size = len(lefts)
             yield pa.RecordBatch.from_arrays(
-                [pa.repeat(one.column("chunk")[0], size), pa.array(np.arange(size, dtype=np.int32)), lefts, one.column("rights").flatten(), one.column("counts").flatten()],
-                ["chunk", "idx", "left", "right", "n"],
+                [_places(one, np.arange(len(lefts))), lefts, one.column("rights").flatten(), one.column("counts").flatten()], ["place", "left", "right", "n"]
             )
 
 
@@ -148,21 +160,25 @@ def _join_adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for row in range(batch.num_rows):
             one = batch.slice(row, 1)
-            groups = one.column("groups").flatten().to_numpy(zero_copy_only=False)
+            groups = _unpacked(one.column("groups")[0].as_py())
             found = one.column("found").flatten()
             number = np.full(int(groups.max(initial=0)) + 1, -1, dtype=np.int64)
             number[found.field("idx").to_numpy(zero_copy_only=False)] = found.field("id").to_numpy(zero_copy_only=False)
-            places = one.column("places")
-            places = np.arange(len(groups), dtype=np.int32) if places.null_count else places.flatten().to_numpy(zero_copy_only=False)
+            steps = one.column("places")[0].as_py()
+            places = np.arange(len(groups), dtype=np.int32) if steps is None else np.cumsum(_unpacked(steps), dtype=np.int32)
             stays = number[groups] >= 0
             places, groups = places[stays], groups[stays]
             at = np.flatnonzero(places[1:] == places[:-1] + 1)
             pairs = groups[at].astype(np.int64) * len(number) + groups[at + 1]
             named, first, which, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-            first = at[first]
+            # Frequent groups have small numbers: those pack well.
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(order), dtype=np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            first = at[first[order]]
             yield _batch([{
-                "chunk": one.column("chunk")[0].as_py(), "places": places[at], "groups": which.astype(np.int32),
-                "lefts": number[groups[first]], "rights": number[groups[first + 1]], "counts": counts,
+                "chunk": one.column("chunk")[0].as_py(), "places": _packed(np.diff(places[at], prepend=0)), "groups": _packed(rank[which]),
+                "lefts": number[groups[first]], "rights": number[groups[first + 1]], "counts": counts[order],
             }], _NEXT)
 
 
@@ -170,6 +186,20 @@ def _relation(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label, rows=_FILE_ROWS)
 
 
+def _frequent(each: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows ``(place, <by>, n)`` the frequent groups ``(id, <by>, f)``, and per chunk the numbers of its frequent groups.
+
+    A group is one row a chunk, so rows are counted where they are dealt and are shuffled once. A group's number is its first place.
+    """
+    group = Window.partitionBy(*by)
+    counted = each.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("place").over(group)).where(F.col("f") >= least)
+    first = F.col("place") == F.col("id")
+    named = stored(counted.select("place", "id", *[F.when(first, F.col(c)).alias(c) for c in (*by, "f")]), "frequent")
+    chunk, idx = F.shiftright("place", _IDX_BITS), F.col("place").bitwiseAND((1 << _IDX_BITS) - 1).cast("int")
+    held = named.select(chunk.alias("chunk"), F.struct(idx.alias("idx"), "id").alias("one")).groupBy("chunk").agg(F.collect_list("one").alias("found"))
+    return named.where(first).select("id", *by, "f"), held
+
+
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 100, longest: int = 5, chunk: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
     """Per length ``(id, lang, phrase, f, heads, tails, left, right)`` for phrases that occur ``least`` times, and ``(lang, n)``.
 
@@ -179,21 +209,16 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     relation = _relation(rows.mapInArrow(partial(_cut, size=chunk), _FIRST), "words")
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
-    each = relation.select("chunk", "lang", "idx", "words", "counts").mapInArrow(_word_rows, "chunk bigint, idx int, lang string, word binary, n bigint")
-    frequent = each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    frequent = stored(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
-    found = each.select("chunk", "idx", "lang", "word").join(frequent, ["lang", "word"])
+    each = relation.select("chunk", "lang", "idx", "words", "counts").mapInArrow(_word_rows, "place bigint, lang string, word binary, n int")
+    frequent, held = _frequent(each, ["lang", "word"], least)
     one = F.array("f")
     none = F.lit(None).cast("bigint")
     phrases = [frequent.select("id", "lang", F.decode("word", "UTF-8").alias("phrase"), "f", one.alias("heads"), one.alias("tails"), none.alias("left"), none.alias("right"))]
-    relation = relation.select("chunk", F.lit(None).cast("array<int>").alias("places"), "groups")
+    relation = relation.select("chunk", F.lit(None).cast("binary").alias("places"), "groups")
     for _ in range(1, longest):
-        held = found.groupBy("chunk").agg(F.collect_list(F.struct("idx", "id")).alias("found"))
         relation = _relation(relation.join(held, "chunk").mapInArrow(_join_adjacent, _NEXT), "phrases")
-        each = relation.select("chunk", "lefts", "rights", "counts").mapInArrow(_pair_rows, "chunk bigint, idx int, left bigint, right bigint, n bigint")
-        frequent = each.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        frequent = stored(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
-        found = each.select("chunk", "idx", "left", "right").join(frequent.select("left", "right", "id"), ["left", "right"])
+        each = relation.select("chunk", "lefts", "rights", "counts").mapInArrow(_pair_rows, "place bigint, left bigint, right bigint, n int")
+        frequent, held = _frequent(each, ["left", "right"], least)
         relation = relation.select("chunk", "places", "groups")
         head = phrases[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "heads")
         tail = phrases[-1].select(F.col("id").alias("right"), F.col("phrase").alias("end"), "tails")
