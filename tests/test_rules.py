@@ -149,3 +149,33 @@ def test_required_literals():
         for text in ("xababy", "barbarfooz", "bc", "a.exe", "d"):
             if re.search(pattern, text) and required_literals(pattern):
                 assert any(lit in text for lit in required_literals(pattern))
+
+
+def test_rules_of_a_table_find_what_unrolled_ones_do(spark):
+    rng = random.Random(9)
+    words = ["alpha", "Beta", "gamma", "delta", "token", "é漢x", "ab", "KEY", "secret", "10.0.0.1"]
+    lines = [" ".join(rng.choice(words) + rng.choice(["", "s", "=", "-7"]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    texts = [(f"f{k}", "\n".join(lines[k * 8 : k * 8 + 8])) for k in range(50)] + [("none", None), ("empty", "")]
+    df = spark.createDataFrame(texts, "path string, text string")
+    patterns = [
+        "alpha +beta", "(?i)ALPHA[ =]", "(?:gamma|delta)s", "(?:gammas|[0-9]+)x?", "[a-z]+-7", r"\btoken=", "é漢x+", "KEY", "ab", "(?i)secret", "(?i)key=",
+        "(a+)+$", "([a", r"10\.0\.0\.1", "(?:alpha|alphas) (?:token|delta)", "[A-Z]{3}", "gamma.{0,9}delta", "(?:alpha ?){2}",
+    ]
+    patterns += [f"{rng.choice(words[:4]).lower()}{rng.choice(['', 's', '='])} +{rng.choice(words[:4])}[a-z]*" for _ in range(50)]
+    rules = [Rule(f"r{k}", p, rng.choice(["low", "high"])) for k, p in enumerate(patterns)]
+    table = spark.createDataFrame([(r.id, r.pattern, r.severity) for r in rules] * 2, "id string, pattern string, severity string")
+    got = scan.table_matches(df, table)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, scan.rule_matches(df, rules).collect()))
+    assert got.count() > 500
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert scan.scan_rule_table(df, table.limit(0)).count() == 0
+    assert scan.scan_rule_table(df.limit(0), table).count() == 0
+
+
+def test_thousands_of_rules_make_no_larger_plan(spark):
+    few, many = (spark.range(n).selectExpr("concat('r', id) AS id", "concat('word', id, ' +[0-9]{3}') AS pattern") for n in (10, 5000))
+    df = spark.createDataFrame([("a", "word4999  123\nword17 12 word17 777")], "path string, text string")
+    assert sorted((r.rule, r.line) for r in scan.table_matches(df, many).collect()) == [("r17", 2), ("r4999", 1)]
+    sizes = [len(scan.table_matches(df, t)._jdf.queryExecution().toString()) for t in (few, many)]
+    assert sizes[1] < sizes[0] * 1.2

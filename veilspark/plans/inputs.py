@@ -55,6 +55,20 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(corpus_from_table(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text"))
 
 
+# Rules made of the documents: the first two longer words of each, as patterns of several kinds. One kind in thirty can't be
+# run safely, one has a safe form, one has no text that a match must hold.
+RULE_WORDS = "regexp_extract(text, '([a-z]{4,}) ([a-z]{4,})', 0)"
+RULE_PATTERN = """CASE doc_id % 30 WHEN 7 THEN concat('(?:[a-z]+ )*', words) WHEN 8 THEN concat('[a-z]+-', words)
+ WHEN 9 THEN concat('(?:', replace(words, ' ', '|'), ')ing') WHEN 10 THEN '[0-9]{4}-[0-9]{2}-[0-9]{2}'
+ ELSE concat(replace(words, ' ', ' +'), '[a-z]*') END"""
+
+
+def word_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of rules, one from each document that has two such words."""
+    words = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{RULE_WORDS} AS words").where("words <> ''")
+    return words.selectExpr("concat('w', CAST(doc_id AS string)) AS id", f"{RULE_PATTERN} AS pattern", "'low' AS severity")
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(f"{CODE_PATH} AS path", f"{CODE_TEXT} AS text")
 

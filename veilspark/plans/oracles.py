@@ -13,6 +13,8 @@ from veilspark.plans.inputs import (
     CODE_TEXT,
     REL,
     REPO,
+    RULE_PATTERN,
+    RULE_WORDS,
     RULES,
 )
 from veilspark.rules import BUILTIN_PACK, BUILTIN_RULES
@@ -294,6 +296,15 @@ ORACLES: dict[str, str] = {
     "UNION ALL SELECT s.path, CAST(nl.ln AS BIGINT), CASE prev WHEN 'function' THEN 'function' WHEN 'class' THEN 'class' ELSE 'constant' END, tok, depth FROM s "
     "JOIN nl ON nl.path = s.path AND nl.pos = s.pos WHERE prev IN ('function', 'class', 'const', 'let', 'var')",
     "scan_rules": f"WITH {DOCS}, {LINES}, {POLICY} {POLICY_FINDINGS}",
+    # The texts that a match holds narrow the pairs of lines and rules down before a pattern runs.
+    "scan_rule_table": f"WITH {DOCS}, {LINES}, worded AS (SELECT doc_id, {RULE_WORDS} AS words FROM documents), "
+    f"rules AS (SELECT concat('w', doc_id) AS id, {RULE_PATTERN} AS pattern, split_part(words, ' ', 1) AS one, split_part(words, ' ', 2) AS two, doc_id % 30 AS form "
+    "FROM worded WHERE words <> '' AND doc_id % 30 <> 7), near AS (SELECT path, ln AS line, line AS t, id, pattern FROM lines, rules WHERE contains(line, one) OR (form IN (9, 10) "
+    "AND (form = 10 OR contains(line, two)))), hits AS (SELECT 'low' AS severity, path, line, concat('policy/', id) AS rule_id, id AS rule, unnest(regexp_extract_all(t, pattern)) AS value FROM near) "
+    f"SELECT {_PUBLIC}, concat('Review the match against policy rule ''', rule, '''.') AS suggested_action FROM hits",
+    "rule_reasons": f"WITH worded AS (SELECT doc_id, {RULE_WORDS} AS words FROM documents) SELECT concat('w', doc_id) AS id, {RULE_PATTERN} AS pattern, "
+    "CASE doc_id % 30 WHEN 7 THEN 'refused' WHEN 8 THEN 'rewritten' ELSE 'ok' END AS status, "
+    "CASE doc_id % 30 WHEN 7 THEN 'recursion' WHEN 8 THEN 'equal form' END AS reason FROM worded WHERE words <> ''",
     "scan_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} {BUILTIN_FINDINGS}",
     "scan_entropy": f"WITH {DOCS}, {LINES}, {ENTROPY} "
     f"SELECT path, line, rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy FROM high",

@@ -14,7 +14,7 @@ from veilspark.operators import diff, files, manifest, policies, rename, scan, t
 from veilspark.operators.splicing import by_key
 from veilspark.plans import flows
 from veilspark.plans import inputs as inp
-from veilspark.rules import check_rules
+from veilspark.rules import check_rules, rule_reasons
 from veilspark.session import ensure_checkpoint_dir
 from veilspark.sources import corpus as src
 from veilspark.streaming.scan_stream import scan_stream as stream_scan
@@ -162,6 +162,16 @@ def scan_rules(spark, sf):
     return scan.scan_rules(inp.documents(spark, sf), inp.RULES)
 
 
+def scan_rule_table(spark, sf):
+    """As many rules as documents: joined by pieces of text, not unrolled."""
+    return scan.scan_rule_table(inp.documents(spark, sf), inp.word_rules(spark, sf))
+
+
+def rule_reasons_of_table(spark, sf):
+    found = rule_reasons(inp.word_rules(spark, sf))
+    return found.select("id", "pattern", "status", F.substring_index("reason", ":", 1).alias("reason"))
+
+
 def scan_builtin(spark, sf):
     return scan.scan_builtin(inp.documents(spark, sf))
 
@@ -421,7 +431,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         read_corpus, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
         exclude_paths, with_language, route_files, relative_path, protect_names, valid_rules,
-        tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, definitions, scan_rules,
+        tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, definitions, scan_rules, scan_rule_table,
         scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, findings_by_repo, clean_rows_by_repo, mask_text,
         mask_preview, scan_stream, nearest_policy, redact_indented_bodies, redact_brace_bodies,
         redact_constant_tables, strip_docstrings, alias_enums, redact_file, redact_file_strict, file_tree,
@@ -431,6 +441,7 @@ QUERIES: dict[str, Query] = {
     )
 }
 QUERIES |= {
+    "rule_reasons": rule_reasons_of_table,
     "constant_table_name": constant_names,
     "private_name": private_names,
     "redact_preview": redact_preview_sql,
