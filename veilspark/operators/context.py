@@ -11,8 +11,9 @@ from veilspark.functions.paths import language
 from veilspark.functions.patterns import MARKER, VALUE_MARKER
 from veilspark.operators import js_code, python_code
 from veilspark.operators.files import route_files
+from veilspark.operators.python_syntax import python_error
 from veilspark.operators.splicing import ROW, by_row
-from veilspark.operators.text_tables import KEY, bracket_error
+from veilspark.operators.text_tables import KEY
 from veilspark.session import ensure_checkpoint_dir
 
 ENGINE = "veilspark 0.1.0"
@@ -85,7 +86,7 @@ def redact_file(
 
     Columns: key, ``language``, ``route``, ``text`` (null where there is no view), ``error``, and the
     counters ``bodies, tables, docstrings, enums``. Python comments are removed from what stays. ``strict``
-    drops docstrings and aliases enums. A file whose brackets do not match is reported, never fatal.
+    drops docstrings and aliases enums. A Python file with a syntax error is reported, never fatal.
     """
     k = list(key)
     docs = "keep" if keep_docstrings and not strict else "strip"
@@ -94,7 +95,7 @@ def redact_file(
     is_python = F.col("route") == "python"
     error = F.when(
         F.col("route") != "unsupported",
-        F.when(F.col("text").isNull(), "unreadable").when(is_python, bracket_error(F.col("text"), True)),
+        F.when(F.col("text").isNull(), "unreadable").when(is_python, python_error(F.col("text"))),
     )
     rows = routed.select(*k, "text", "language", "route").withColumn("error", error)
 

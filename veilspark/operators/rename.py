@@ -13,9 +13,10 @@ from veilspark.operators.context import _routed
 from veilspark.operators.files import route_files
 from veilspark.operators.js_code import js_definitions, reference_units, template_parts
 from veilspark.operators.python_code import python_definitions, strip_comments
+from veilspark.operators.python_syntax import python_error
 from veilspark.operators.scan import _any_rule, has_match
 from veilspark.operators.splicing import JS_LEXER, PY_LEXER, ROW, apply_edits, by_key, by_row
-from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS, bracket_error
+from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS
 from veilspark.rules import Rule, check_rules, java_pattern
 
 
@@ -36,10 +37,10 @@ def protect_names(names: DataFrame, keep: Iterable[str], name: str = "name") ->
 
 
 def renamable(corpus: DataFrame) -> DataFrame:
-    """Rows that a rename may touch: a supported language, readable, and for Python with matching brackets."""
+    """Rows that a rename may touch: a supported language, readable, and for Python without a syntax error."""
     routed = route_files(corpus)
-    python_error = F.when(F.col("route") == "python", bracket_error(F.col("text"), True))
-    ok = (F.col("route") != "unsupported") & F.col("text").isNotNull() & python_error.isNull()
+    error = F.when(F.col("route") == "python", python_error(F.col("text")))
+    ok = (F.col("route") != "unsupported") & F.col("text").isNotNull() & error.isNull()
     return routed.withColumn("transformed", ok)
 
 

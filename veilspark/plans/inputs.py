@@ -32,6 +32,11 @@ REL = """concat(CASE o_orderkey % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'lib/' WHEN 2
 # Code of which a part has an unmatched bracket at its end.
 BROKEN_TEXT = f"concat({CODE_TEXT}, CASE WHEN p_size > 40 THEN 'f({{' WHEN p_size > 30 THEN ')' ELSE '' END)"
 
+# Code with a syntax error at its end, of a kind that the size tells.
+FAULTY_TEXT = f"""concat({CODE_TEXT}, CASE p_size % 9 WHEN 0 THEN concat('def f(x)', chr(10), '    return 1', chr(10)) WHEN 1 THEN 'x = = 3'
+ WHEN 2 THEN concat('class A', chr(10), '    pass') WHEN 3 THEN concat('if x:', chr(10), '        y = 1', chr(10), '    z = 2') WHEN 4 THEN 'total = 3 +'
+ WHEN 5 THEN 'name = "abc' WHEN 6 THEN 'f(a, [b)' ELSE '' END)"""
+
 RULES = (
     Rule("email", r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+", "medium"),
     Rule("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "low"),
@@ -77,6 +82,10 @@ def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(f"{CODE_PATH} AS path", f"{BROKEN_TEXT} AS text")
 
 
+def faulty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(f"{CODE_PATH} AS path", f"{FAULTY_TEXT} AS text")
+
+
 def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(f"{REPO} AS repo", f"{REL} AS rel").distinct()
 

@@ -305,6 +305,9 @@ ORACLES: dict[str, str] = {
     "rule_reasons": f"WITH worded AS (SELECT doc_id, {RULE_WORDS} AS words FROM documents) SELECT concat('w', doc_id) AS id, {RULE_PATTERN} AS pattern, "
     "CASE doc_id % 30 WHEN 7 THEN 'refused' WHEN 8 THEN 'rewritten' ELSE 'ok' END AS status, "
     "CASE doc_id % 30 WHEN 7 THEN 'recursion' WHEN 8 THEN 'equal form' END AS reason FROM worded WHERE words <> ''",
+    "syntax_errors": f"WITH faulty AS (SELECT {CODE_PATH} AS path, CASE WHEN p_partkey % 2 = 1 THEN CASE WHEN p_size % 9 IN (6) THEN 'unbalanced brackets' END "
+    "ELSE CASE p_size % 9 WHEN 0 THEN 'a header without a colon' WHEN 1 THEN 'two operators' WHEN 2 THEN 'a header without a colon' WHEN 3 THEN 'a dedent to no level' "
+    "WHEN 4 THEN 'dangling operator' WHEN 5 THEN 'an open string' WHEN 6 THEN 'unbalanced brackets' END END AS error FROM part) SELECT path, error FROM faulty WHERE error IS NOT NULL",
     "scan_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} {BUILTIN_FINDINGS}",
     "scan_entropy": f"WITH {DOCS}, {LINES}, {ENTROPY} "
     f"SELECT path, line, rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy FROM high",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import constant_table_name, private_name, redact_preview, register_sql_functions
 from veilspark.operators import context as ctx
-from veilspark.operators import diff, files, manifest, policies, rename, scan, text_tables
+from veilspark.operators import diff, files, manifest, policies, python_syntax, rename, scan, text_tables
 from veilspark.operators.splicing import by_key
 from veilspark.plans import flows
 from veilspark.plans import inputs as inp
@@ -151,6 +151,10 @@ def unbalanced_files(spark, sf):
     return text_tables.unbalanced_files(inp.broken_files(spark, sf))
 
 
+def syntax_errors(spark, sf):
+    return python_syntax.syntax_errors(inp.faulty_files(spark, sf))
+
+
 def definitions(spark, sf):
     return rename.definitions(inp.code_files(spark, sf)).select("path", "ln", "kind", "name", "depth")
 
@@ -431,7 +435,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         read_corpus, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
         exclude_paths, with_language, route_files, relative_path, protect_names, valid_rules,
-        tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, definitions, scan_rules, scan_rule_table,
+        tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, syntax_errors, definitions, scan_rules, scan_rule_table,
         scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, findings_by_repo, clean_rows_by_repo, mask_text,
         mask_preview, scan_stream, nearest_policy, redact_indented_bodies, redact_brace_bodies,
         redact_constant_tables, strip_docstrings, alias_enums, redact_file, redact_file_strict, file_tree,
