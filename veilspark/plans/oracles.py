@@ -80,6 +80,9 @@ FOUND = (
     f"UNION ALL {BUILTIN_FINDINGS.replace('built_once', 'high_once')})"
 )
 SCAN = f"WITH {DOCS}, {FOUND}"
+WHOLE = (
+    "docs AS (SELECT coalesce(source, 'none') AS path, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"
+)
 SHARED = (
     "docs AS (SELECT concat('r', doc_id % 4, '/', 'f', doc_id // 4) AS path, text FROM documents)"
 )
@@ -308,6 +311,7 @@ ORACLES: dict[str, str] = {
     "syntax_errors": f"WITH faulty AS (SELECT {CODE_PATH} AS path, CASE WHEN p_partkey % 2 = 1 THEN CASE WHEN p_size % 9 IN (6) THEN 'unbalanced brackets' END "
     "ELSE CASE p_size % 9 WHEN 0 THEN 'a header without a colon' WHEN 1 THEN 'two operators' WHEN 2 THEN 'a header without a colon' WHEN 3 THEN 'a dedent to no level' "
     "WHEN 4 THEN 'dangling operator' WHEN 5 THEN 'an open string' WHEN 6 THEN 'unbalanced brackets' END END AS error FROM part) SELECT path, error FROM faulty WHERE error IS NOT NULL",
+    "scan_splits": f"WITH {WHOLE}, {FOUND} SELECT * FROM found",
     "scan_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} {BUILTIN_FINDINGS}",
     "scan_entropy": f"WITH {DOCS}, {LINES}, {ENTROPY} "
     f"SELECT path, line, rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy FROM high",

@@ -39,6 +39,16 @@ def read_corpus(spark, sf):
     return found.select(F.regexp_extract("path", r"name=a %23(\d+)/", 1).alias("path"), F.sha2("content", 256).alias("sha256"), "length")
 
 
+def scan_splits(spark, sf):
+    """The documents of each source as one file, read in ranges of 4 KiB and scanned: findings with lines of the whole file."""
+    out = _fresh(spark, "sources")
+    named = inp.documents(spark, sf, "source").select(F.coalesce("source", F.lit("none")).alias("name"), F.col("path").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    named.repartition("name").sortWithinPartitions("name", "id").select("name", "text").write.partitionBy("name").text(out)
+    parts = src.decode_utf8(src.read_corpus(spark, out, where=F.col("path").endswith(".txt"), max_bytes=4096))
+    name = F.regexp_extract("path", r"name=([^/]+)/", 1)
+    return scan.findings(parts, inp.RULES, ordered=False, split="start").withColumn("path", name)
+
+
 def corpus_from_table(spark, sf):
     return inp.conversations(spark, sf)
 
@@ -433,7 +443,7 @@ def project_profile(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        read_corpus, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
+        read_corpus, scan_splits, corpus_from_table, decode_utf8, write_findings, write_corpus, write_manifest, write_context,
         exclude_paths, with_language, route_files, relative_path, protect_names, valid_rules,
         tag_sensitive_paths, allow_matches, lines, tokens, nesting, unbalanced_files, syntax_errors, definitions, scan_rules, scan_rule_table,
         scan_builtin, scan_entropy, dedupe_builtin, findings, scan_summary, clean_rows, rule_clean_rows, findings_by_repo, clean_rows_by_repo, mask_text,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.session import ensure_checkpoint_dir
-from veilspark.sources.file_io import list_children, open_fs, read_bytes
+from veilspark.sources.file_io import list_children, open_fs, read_bytes, read_ranges
 
 _LISTING_SCHEMA = "path string, is_dir boolean, length bigint"
 
@@ -54,22 +54,33 @@ def read_corpus(
     hidden: bool = True,
     where: Column | None = None,
     partitions: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``(path, content, length)`` of every regular file below ``root``, or of the single file ``root``.
 
     Spark's own file sources drop names that start with ``.`` or ``_`` (``.env``, ``__init__.py``), which a
     secret scan must see; ``hidden=False`` uses the built-in ``binaryFile`` source. ``where`` is a predicate
     on ``path`` applied before any content is read.
+
+    ``max_bytes`` cuts files at line ends into ranges of about so many bytes, each a row ``(path, start, content,
+    length)`` that any task can read: a file of any size is spread. ``findings(..., split="start")`` takes such rows.
     """
+    if max_bytes is not None and (max_bytes < 1 or not hidden):
+        raise ValueError("max_bytes is positive, and needs hidden files to be read")
     if not hidden:
         df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         df = df.select("path", "content", "length")
         return df if where is None else df.where(where)
-    paths = list_files(spark, root, partitions).select("path")
+    paths = list_files(spark, root, partitions)
     if where is not None:
         paths = paths.where(where)
     n = partitions or spark.sparkContext.defaultParallelism
-    return paths.repartition(n, "path").mapInArrow(partial(read_bytes, root=root), "path string, content binary, length bigint")
+    if max_bytes is not None:
+        last = F.greatest(F.col("length") - 1, F.lit(0))
+        ranges = paths.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(max_bytes).cast("bigint"))).alias("start"), "length")
+        reader = partial(read_ranges, root=root, max_bytes=max_bytes)
+        return ranges.repartition(n, "path", "start").mapInArrow(reader, "path string, start bigint, content binary, length bigint")
+    return paths.select("path").repartition(n, "path").mapInArrow(partial(read_bytes, root=root), "path string, content binary, length bigint")
 
 
 def decode_utf8(df: DataFrame, content: str = "content") -> DataFrame:

@@ -74,3 +74,48 @@ def read_bytes(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Reco
                 paths, contents, lengths, held = [], [], [], 0
     if paths:
         yield flush(paths, contents, lengths)
+
+
+def _line_start(f, at: int, stop: int) -> int:
+    """The first line start at or behind ``at``, a newline's place and one; ``stop`` if there is none before it."""
+    if at <= 0:
+        return 0
+    f.seek(at - 1)
+    place = at - 1
+    while place < stop:
+        data = f.read(min(_PEEK, stop - place))
+        if not data:
+            return stop
+        found = data.find(b"\n")
+        if found >= 0:
+            return place + found + 1
+        place += len(data)
+    return stop
+
+
+_PEEK = 1 << 16
+
+
+def read_ranges(batches: Iterator[pa.RecordBatch], root: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of files the lines that start in ``[start, start + max_bytes)``: ``(path, start, content, length)``.
+
+    A line belongs to the range that it starts in, however long it is; a range in which none starts has no row.
+    """
+    store, inner = open_fs(root)
+    for batch in batches:
+        for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            try:
+                with store.open_input_file(_place(inner, path, root)) as f:
+                    stop = start + max_bytes
+                    begin = _line_start(f, start, min(stop, length))
+                    if begin >= min(stop, length) and start:
+                        continue
+                    end = _line_start(f, stop, length) if stop < length else length
+                    f.seek(begin)
+                    data = f.read(end - begin)
+            except OSError:
+                data = None
+            yield pa.RecordBatch.from_pydict({
+                "path": [path], "start": pa.array([start], pa.int64()), "content": pa.array([data], pa.binary()),
+                "length": pa.array([None if data is None else len(data)], pa.int64()),
+            })
