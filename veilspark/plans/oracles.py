@@ -312,6 +312,7 @@ ORACLES: dict[str, str] = {
     "ELSE CASE p_size % 9 WHEN 0 THEN 'a header without a colon' WHEN 1 THEN 'two operators' WHEN 2 THEN 'a header without a colon' WHEN 3 THEN 'a dedent to no level' "
     "WHEN 4 THEN 'dangling operator' WHEN 5 THEN 'an open string' WHEN 6 THEN 'unbalanced brackets' END END AS error FROM part) SELECT path, error FROM faulty WHERE error IS NOT NULL",
     "scan_splits": f"WITH {WHOLE}, {FOUND} SELECT * FROM found",
+    "scan_changes": f"{SCAN} SELECT * FROM found",
     "scan_builtin": f"WITH {DOCS}, {LINES}, {BUILTIN} {BUILTIN_FINDINGS}",
     "scan_entropy": f"WITH {DOCS}, {LINES}, {ENTROPY} "
     f"SELECT path, line, rule_id, {_preview('value')} AS preview, round(e, 4) AS entropy FROM high",
