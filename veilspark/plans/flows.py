@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilspark.operators.context import context_document, redact_file, strip_docstrings
@@ -24,6 +24,18 @@ class Scan:
     summary: DataFrame
 
 
+@dataclass(frozen=True)
+class Observed:
+    findings: DataFrame
+    files: Observation
+    found: Observation
+
+    def summary(self) -> DataFrame:
+        files, found = self.files.get["n"], self.found.get["n"]
+        row = (files, found, "ok" if found == 0 else "findings")
+        return self.findings.sparkSession.createDataFrame([row], "files_scanned bigint, findings bigint, status string")
+
+
 @dataclass(frozen=True)
 class Obfuscated:
     corpus: DataFrame
@@ -52,6 +64,23 @@ def scan(
     return Scan(found, scan_summary(kept, findings(kept, rules, ordered=False, key=key, allow=allow)))
 
 
+def observed_scan(
+    corpus: DataFrame,
+    rules: Sequence[Rule] = (),
+    ignore: Iterable[str] = (),
+    key: Sequence[str] = ("path",),
+    allow: DataFrame | Iterable[str] | None = None,
+) -> Observed:
+    """``scan`` whose counts come with its findings: the corpus is read once, when the findings are first used.
+
+    ``summary`` waits for that: it is the row of ``scan_summary``, from metrics that the tasks report as they go.
+    """
+    files, found = Observation(), Observation()
+    kept = exclude_paths(corpus, ignore).observe(files, F.count(F.lit(1)).alias("n"))
+    rows = findings(kept, rules, ordered=False, key=key, allow=allow).observe(found, F.count(F.lit(1)).alias("n"))
+    return Observed(rows, files, found)
+
+
 def write_scan(
     corpus: DataFrame,
     out: str,
