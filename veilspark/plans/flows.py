@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -24,6 +25,14 @@ class Scan:
     summary: DataFrame
 
 
+def _counted(metric: Observation) -> int:
+    try:
+        return metric.get["n"]
+    except Py4JJavaError:
+        # A plan that is known to be empty is folded away with its metrics.
+        return 0
+
+
 @dataclass(frozen=True)
 class Observed:
     findings: DataFrame
@@ -31,7 +40,7 @@ class Observed:
     found: Observation
 
     def summary(self) -> DataFrame:
-        files, found = self.files.get["n"], self.found.get["n"]
+        files, found = _counted(self.files), _counted(self.found)
         row = (files, found, "ok" if found == 0 else "findings")
         return self.findings.sparkSession.createDataFrame([row], "files_scanned bigint, findings bigint, status string")
 
