@@ -80,6 +80,19 @@ FOUND = (
     f"UNION ALL {BUILTIN_FINDINGS.replace('built_once', 'high_once')})"
 )
 SCAN = f"WITH {DOCS}, {FOUND}"
+def _tree_digest(entry: str) -> str:
+    parts = ", ".join(f"CAST(sum(CAST(concat('0x', substr(sha256({entry}), {1 + 15 * k}, 15)) AS BIGINT)::HUGEINT) AS VARCHAR)" for k in range(4))
+    return f"sha256(concat_ws(',', {parts}))"
+
+
+_DIR = "regexp_extract(P, '^(.*)/[^/]*$', 1)"
+_LEVELS = [
+    f"e{d} AS (SELECT {_DIR.replace('P', 'path')} AS dir, concat('file ', path, ' ', sha256(path)) AS entry, 1 AS files FROM repo_paths WHERE len(path) - len(replace(path, '/', '')) = {d}"
+    + (f" UNION ALL SELECT {_DIR.replace('P', 'dir')}, concat('dir ', dir, ' ', digest), files FROM d{d + 1}" if d < 3 else "")
+    + f"), d{d} AS (SELECT dir, CAST(sum(files) AS BIGINT) AS files, {_tree_digest('entry')} AS digest FROM e{d} GROUP BY dir)"
+    for d in (3, 2, 1, 0)
+]
+TREE = f"WITH {REPO_PATHS}, {', '.join(_LEVELS)}"
 WHOLE = (
     "docs AS (SELECT coalesce(source, 'none') AS path, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY ALL)"
 )
@@ -377,6 +390,11 @@ ORACLES: dict[str, str] = {
     "SELECT 'meta', 'policy_hash', sha256('version: 1') UNION ALL SELECT 'meta', 'policy_snapshot', 'version: 1') SELECT * FROM m",
     "transform_counts": f"{RENAMES} SELECT count(*) FILTER (WHERE p_partkey % 2 = 1 OR p_size <= 30) AS files_transformed, "
     "count(*) FILTER (WHERE p_partkey % 2 = 0 AND p_size > 30) AS files_copied, (SELECT count(*) FROM renames) AS renames FROM part",
+    "tree_digests": TREE + " " + " UNION ALL ".join(f"SELECT dir, CAST({d} AS BIGINT) AS depth, files, digest FROM d{d}" for d in range(4)),
+    "verify_tree": f"WITH {REPO_PATHS}, old AS (SELECT path FROM repo_paths WHERE path NOT LIKE 'repo1/%'), "
+    "new AS (SELECT path, path LIKE '%7.js' AS changed FROM repo_paths WHERE path NOT LIKE '%/lib/%1.tsx' AND path NOT LIKE 'repo2/%') "
+    "SELECT coalesce(old.path, new.path) AS path, CASE WHEN old.path IS NULL THEN 'extra' WHEN new.path IS NULL THEN 'missing' ELSE 'changed' END AS status "
+    "FROM old FULL OUTER JOIN new ON old.path = new.path WHERE old.path IS NULL OR new.path IS NULL OR changed",
     "verify_manifest": f"WITH {BROKEN} SELECT path, CASE WHEN p_size > 30 THEN 'changed' ELSE 'ok' END AS status FROM broken",
     "verify_output": f"{APPLIED}, rtok AS (SELECT path, unnest(range(len(t))) AS pos, unnest(t) AS tok FROM (SELECT path, "
     f"CASE WHEN path LIKE '%.py' THEN regexp_extract_all(text, {_q(_TOKEN['py'])}) ELSE regexp_extract_all(text, {_q(_TOKEN['js'])}) END AS t FROM renamed)), "

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.text import constant_table_name, private_name, redact_preview, register_sql_functions
 from veilspark.operators import context as ctx
-from veilspark.operators import diff, files, manifest, policies, python_syntax, rename, scan, text_tables
+from veilspark.operators import diff, digests, files, manifest, policies, python_syntax, rename, scan, text_tables
 from veilspark.operators.splicing import by_key
 from veilspark.plans import flows
 from veilspark.plans import inputs as inp
@@ -444,6 +444,20 @@ def verify_output(spark, sf):
     return manifest.verify_output(code, output, renames, inp.RULES)
 
 
+def tree_digests(spark, sf):
+    paths = inp.repo_paths(spark, sf)
+    return digests.tree_digests(paths.select("path", F.sha2("path", 256).alias("sha256")))
+
+
+def verify_tree(spark, sf):
+    """One tree without some repositories' files, with changed ones and with new ones."""
+    paths = inp.repo_paths(spark, sf)
+    known = paths.where("path not like 'repo1/%'").select("path", F.sha2("path", 256).alias("sha256"))
+    changed = F.when(F.col("path").endswith("7.js"), F.lit("changed")).otherwise(F.sha2("path", 256))
+    now = paths.where("path not like '%/lib/%1.tsx' and path not like 'repo2/%'").select("path", changed.alias("sha256"))
+    return digests.verify_tree(known, now)
+
+
 def passthrough(spark, sf):
     code = inp.code_files(spark, sf)
     only_js = ctx.redact_brace_bodies(code.where(F.col("path").endswith(".js")))
@@ -466,7 +480,7 @@ QUERIES: dict[str, Query] = {
         redact_constant_tables, strip_docstrings, alias_enums, redact_file, redact_file_strict, file_tree,
         context_document, document_text, context_status, diff_files, diff_counts, diff_context, marker_counts,
         js_table_count, diff_totals, private_definitions, rename_map, apply_renames, pseudonymize, pseudonym_map,
-        hash_files, rename_entries, transform_counts, verify_manifest, verify_output, passthrough, project_profile,
+        hash_files, rename_entries, transform_counts, verify_manifest, tree_digests, verify_tree, verify_output, passthrough, project_profile,
     )
 }
 QUERIES |= {
