@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspark.session import ensure_checkpoint_dir
 
@@ -33,6 +34,49 @@ def stored(df: DataFrame, label: str, compression: str = "zstd", rows: int = 0)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, label: str, key: str, rows: int = 0) -> DataFrame:
+    """``df`` stored as :func:`stored` does, in buckets of a column: a join on it doesn't move these rows again.
+
+    Each task writes the buckets of its rows, so nothing is shuffled for it. The catalog is told of the buckets only
+    while the frame is made.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{name[-32:]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).option("path", folder)
+    writer.bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    held = spark.table(name)
+    held.schema  # noqa: B018 - resolved while the table is known
+    spark.sql(f"DROP TABLE {name}")
+    return held
+
+
+#: A key that holds more than this share of the rows is joined where its rows lie; there are at most so many.
+HOT_KEYS = 4096
+
+
+def join_named(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``named``, which has a row for each key and the number ``n`` of its rows.
+
+    The few keys that hold over one in ``HOT_KEYS`` of all rows, at most that many, are broadcast; so no key
+    gathers its rows in one task. The others are dealt.
+    """
+    total = named.agg(F.sum(n)).first()[0] or 0
+    crowded = F.col(n) * HOT_KEYS > total
+    hot = F.broadcast(named.where(crowded).drop(n))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(~crowded).drop(n), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of SplitMix over unsigned longs."""
     x = x.astype(np.uint64, copy=True)
