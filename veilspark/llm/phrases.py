@@ -7,7 +7,7 @@ groups comes before the next length. A group is the pair of the numbers of its t
 nothing is hashed.
 
 The relation is held in chunks: one row for about ``CHUNK`` words of one language, cut between pieces, with the places
-and the chunk's own groups in order. A chunk counts its groups before anything is shuffled, so that a group, however
+and the chunk's own groups in order. It is stored in buckets by chunk and never moves; frequent groups come to it. A chunk counts its groups before anything is shuffled, so that a group, however
 frequent, is one row a chunk; what returns to a chunk are the numbers of its frequent groups.
 """
 
@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored
+from veilspark.llm.common import stored, stored_by
 
-#: Words of a chunk.
-CHUNK = 1 << 19
+#: Words of a chunk; a task holds chunks of all its languages open, with this many chunks' words at most.
+CHUNK, OPEN = 1 << 19, 4
 #: Chunks of a stored file: a reader holds the rows of a file at once.
 _FILE_ROWS = 4
 _BLOCK = 1 << 20
+#: Parts of a language that are ranked apart.
+_RANK_PARTS = 16
 _BETWEEN = re.compile(rb"[ \n]")
 #: Ends of pieces become line feeds, tabs become blanks.
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\x09", b"\n" * 9 + b" ")
@@ -125,6 +127,9 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
                     held = open_[lang] = _Chunk()
                     held.add(words[k] for k in groups.tolist())
             held.add([b"\n"])
+            if sum(c.size for c in open_.values()) >= OPEN * size:
+                largest = max(open_, key=lambda name: open_[name].size)
+                yield done(largest, open_.pop(largest))
     for lang, held in open_.items():
         yield done(lang, held)
 
@@ -183,7 +188,7 @@ def _join_adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _relation(df: DataFrame, label: str) -> DataFrame:
-    return stored(df, label, rows=_FILE_ROWS)
+    return stored_by(df, label, "chunk", rows=_FILE_ROWS)
 
 
 def _frequent(each: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
@@ -265,8 +270,13 @@ def collocations(
             kept = kept.join(cover, "id", "left").where(F.col("cover").isNull() | (100 * F.col("cover") < share * F.col("f")))
         scored.append(kept.select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "n", "cut.score"))
     rows = reduce(DataFrame.unionByName, scored)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rows.withColumn("rank", F.row_number().over(order))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:
+        # The best of each part of a language first, so that the last ranking has a bounded number of rows.
+        part = F.pmod(F.xxhash64("phrase"), F.lit(_RANK_PARTS)).alias("part")
+        parts = rows.select("*", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order)))
+        rows = parts.where(F.col("rank") <= top).drop("part", "rank")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
     columns: Sequence[str] = ("phrase", "a", "l", "r", "n", "score")
