@@ -2,7 +2,7 @@
 
 Method (after jusText): blocks are classified by link density, length and stop-word density; short blocks that
 this leaves open inherit the label of the nearest decided neighbour. Elements whose name or role says
-that they hold no main text decide their blocks beforehand, and so do class words unless most good text is below them.
+that they hold no main text decide their blocks beforehand, and so do class words and forms unless most good text is below them.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements without main text.
 OUTSIDE = frozenset(
-    "head nav footer aside form dialog menu button select option datalist canvas svg math object embed audio video template map "
+    "head nav footer aside dialog menu button select option datalist canvas svg math object embed audio video template map "
     "search noscript".split()
 )
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Elements and roles that hold no main text, unless a whole page stands in them.
+SOFT = frozenset(["form"])
 #: Words of class names and ids that mark elements without main text.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr "
@@ -57,6 +59,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters and densities of the first pass.
 SHORT, LONG, STOPS, LINKS = 40, 140, 0.12, 0.4
+#: Density of stop words that a long block has at least, on a page in a language whose stop words are known.
+FEW_STOPS = 0.03
 
 
 class _Element:
@@ -84,15 +88,16 @@ def _marked(name: str, attributes: str) -> tuple[bool, bool]:
     """Whether the element's name or role says that it holds no main text, and whether a class or id word does."""
     if name in OUTSIDE:
         return True, False
+    worded = name in SOFT
     if name in ("html", "body") or "=" not in attributes and "hidden" not in attributes.lower():
-        return False, False
-    worded = False
+        return False, worded
     for key, value in _NAMED.findall(attributes):
         key, value = key.lower(), html.unescape(value.strip("\"'"))
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" and name not in INSIDE:
             return True, False
         if key == "role" and not OUTSIDE_ROLES.isdisjoint(value.lower().split()):
             return True, False
+        worded |= key == "role" and not SOFT.isdisjoint(value.lower().split())
         if key in ("class", "id") and name != "main" and not (name in HEADINGS or name == "a"):
             for one in value.split():
                 words = _SPLIT.split(_CAMEL.sub("-", one).lower())
@@ -234,25 +239,38 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def _content(b: Block) -> bool | None:
-    """The label that a block's own text gives it."""
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _content(b: Block, known: bool) -> bool | None:
+    """The label that a block's own text gives it. ``known``: stop words of the page's language are known.
+
+    A long block without stop words is a list of names and numbers; inside an article its neighbours decide.
+    """
     if b.links > LINKS and not b.heading:
         return False
+    if len(b.text) <= SHORT:
+        return None
+    stops = _stops(b.text)
     if len(b.text) > LONG:
-        return True
-    if len(b.text) > SHORT:
-        words = _WORD.findall(b.text.lower())
-        if sum(w in STOP_WORDS for w in words) >= STOPS * max(1, len(words)):
-            return True
-    return None
+        return True if not known or stops >= FEW_STOPS else None if b.inside else False
+    return True if stops >= STOPS else None
+
+
+def _known(found: list[Block]) -> bool:
+    """Has a long block of the page as many stop words as prose has?"""
+    return any(len(b.text) > LONG and b.links <= LINKS and _stops(b.text) >= STOPS for b in found)
 
 
 def _settle_words(found: list[Block]) -> None:
-    """Blocks under a class or id word are outside, unless its element holds over half of the page's good text.
+    """Blocks under a class or id word or a form are outside, unless its element holds over half of the page's good text.
 
     Where an article or main element without such a word has good text, it is the main text and all words hold.
     """
-    good = [b for b in found if not b.outside and _content(b)]
+    known = _known(found)
+    good = [b for b in found if not b.outside and _content(b, known)]
     held: dict[int, int] = {}
     for b in good:
         for place in b.worded:
@@ -268,15 +286,16 @@ def _settle_words(found: list[Block]) -> None:
 def classify(found: list[Block]) -> None:
     """Sets ``good`` of each block.
 
-    First pass: a block of an element without main text is bad, and so is one that is mostly links. A long one,
-    or one of medium length with many stop words, is good. Second pass: a heading takes the label of the next decided
+    First pass: a block of an element without main text is bad, and so is one that is mostly links. A long one with
+    some stop words, or one of medium length with many, is good; where the page's language isn't known any long one is. Second pass: a heading takes the label of the next decided
     block, any other short block that of the nearest (the earlier one if both are as near). Inside an article
     element only neighbours inside count, and blocks that none decides are good there; so are they on
     a page where nothing at all is decided as good.
     """
     _settle_words(found)
+    known = _known([b for b in found if not b.outside])
     for b in found:
-        b.good = False if b.outside else _content(b)
+        b.good = False if b.outside else _content(b, known)
     decided = [b.good for b in found]
     for k, b in enumerate(found):
         if decided[k] is not None:
