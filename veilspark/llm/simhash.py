@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored
+from veilspark.llm.common import join_named, stored
 from veilspark.llm.components import connected_components
 
 BITS = 64
@@ -200,12 +200,12 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Repeated rows are kept; other columns of ``docs`` are ignored. An empty table gives an empty table.
     """
     rows = stored(fingerprints(docs, key, text, words), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min(key).alias("first"))
+    classes = rows.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     roots = linked(rows.select("fp").distinct(), distance)
-    rooted = stored(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "classes")
+    rooted = stored(classes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "classes")
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    named = stored(rooted.join(ids, "root").select("fp", "n", "component_id"), "named")
+    return join_named(rows, named, "fp").select(key, "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilspark.llm.common import stored
+
 #: Bytes of query vectors that are sent to the executors at once; more queries take more passes.
 BLOCK_BYTES = 32 << 20
 _QUERIES = 128
@@ -86,14 +88,14 @@ def _whole(x: np.ndarray) -> np.ndarray:
     return np.array([[int(c) for c in row] for row in x.tolist()], dtype=object).reshape(x.shape)
 
 
-def top_inner_products(queries: DataFrame, rows: DataFrame, k: int = 5, step: int = 16) -> DataFrame:
+def top_inner_products(queries: DataFrame, rows: DataFrame, k: int = 5, step: int = 16, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k rows of highest inner product of each query, ties to smaller ids.
 
     Both tables are ``(id, v)`` of :func:`quantized`. The rows with the query's own id are no candidates. Vectors
     of different lengths are compared as if filled up with zeros. Queries that repeat an id and a vector are one
     query; repeated rows are candidates each. Empty queries or rows give no result.
 
-    Queries travel in blocks of at most ``BLOCK_BYTES``; every task runs its rows past the block in
+    Queries travel in blocks of at most ``block_bytes``, one after the other; every task runs its rows past the block in
     vertical layout, and drops a row as soon as its partial score and the remaining mass can't reach any query's
     k-th best. Each task returns k rows per query at most; these are merged by query.
     """
@@ -103,7 +105,7 @@ def top_inner_products(queries: DataFrame, rows: DataFrame, k: int = 5, step: in
     width = size.w or 0
     largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
     exact = (size.m or 0.0) * largest * max(width, 1) < _EXACT
-    passes = max(1, -(-(size.n or 0) * (width + 1) * 8 // BLOCK_BYTES))
+    passes = max(1, -(-(size.n or 0) * (width + 1) * 8 // block_bytes))
     found = []
     for n in range(passes):
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n).toPandas()
@@ -122,7 +124,13 @@ def top_inner_products(queries: DataFrame, rows: DataFrame, k: int = 5, step: in
                 if len(i):
                     yield pd.DataFrame({"query_id": own, "vec_id": i, "score": [int(x) for x in score]})
 
-        found.append(rows.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint"))
+        some = rows.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
+        if passes == 1:
+            found.append(some)
+            break
+        # One block at a time: its results are stored and its queries leave the driver and the executors.
+        found.append(stored(some, "block"))
+        held.destroy()
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.union(more)
