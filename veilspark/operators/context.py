@@ -163,14 +163,17 @@ def file_tree(corpus: DataFrame, by: str | None = None, ordered: bool = True) ->
     return tree.orderBy(*cols) if ordered else tree
 
 
+# The title and the headings of the context document, and what stands for an empty list.
+TITLE, FILES, NOT_PARSED, NONE = "# Safe context", "## Files", "## Files not parsed", "_(none)_"
+
+
 def _header_text(strict: bool, policy: str) -> str:
     note = "\n\nStrict view: enum values are aliased and docstrings removed." if strict else ""
     return (
         f"<!-- generated by {ENGINE}; policy: {policy}; strict: {str(strict).lower()} -->\n"
-        "# Safe context\n\n"
-        "A redacted view of the source. Function and method bodies are replaced "
-        f"(`...` in Python, `{MARKER}` in JS/TS), and so are upper-case constants that hold collections. "
-        f"Imports, class shapes and signatures are kept.{note}"
+        f"{TITLE}\n\n"
+        f"What is left out stands as `...` (Python) or `{MARKER}` (JavaScript, TypeScript): what functions and methods do, "
+        f"and what collections in upper case hold. All else is as it was written, comments in Python aside.{note}"
     )
 
 
@@ -220,14 +223,14 @@ def context_document(
         F.struct(F.lit(0).alias("rank"), F.lit(_header_text(strict, policy)).alias("text")),
         F.struct(
             F.lit(1).alias("rank"),
-            F.when(empty, F.lit("\n## Files\n\n_(none)_")).otherwise(F.lit("\n## Files\n\n```")).alias("text"),
+            F.when(empty, F.lit(f"\n{FILES}\n\n{NONE}")).otherwise(F.lit(f"\n{FILES}\n\n```")).alias("text"),
         ),
         F.struct(F.lit(3).alias("rank"), F.when(~empty, F.lit("```")).alias("text")),
         F.struct(
             F.lit(6).alias("rank"),
             F.when(
                 F.col("n_other") > 0,
-                F.lit("\n## Files not parsed\n\nThese files were found but are not supported:\n"),
+                F.lit(f"\n{NOT_PARSED}\n\nThese files were found but are not supported:\n"),
             ).alias("text"),
         ),
     )

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import JS_TEMPLATE_PIECE, LINE_BREAK, LINE_WITH_BREAK, PRIVATE_REFERENCE
 from veilspark.functions.text import private_name
-from veilspark.operators.context import _routed
 from veilspark.operators.files import route_files
 from veilspark.operators.js_code import js_definitions, reference_units, template_parts
 from veilspark.operators.python_code import python_definitions, strip_comments
 from veilspark.operators.python_syntax import python_error
-from veilspark.operators.scan import _any_rule, has_match
+from veilspark.operators.scan import _any_rule, has_match, merged_places
 from veilspark.operators.splicing import JS_LEXER, PY_LEXER, ROW, apply_edits, by_key, by_row
 from veilspark.operators.text_tables import CLOSERS, KEY, OPENERS
-from veilspark.rules import Rule, check_rules, java_pattern
+from veilspark.rules import Rule, check_rules
 
 
 def protected(name: Column, keep: Iterable[str]) -> Column:
@@ -199,49 +198,16 @@ def transform_counts(before: DataFrame, renames: DataFrame) -> DataFrame:
     )
 
 
-def _rule_pieces(line: Column, rule: Rule, number: int) -> Column:
-    """The matches of one rule in a line, each with the text before it; the last entry is what follows them."""
-    pattern = java_pattern(rule.pattern)
-    values = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    pieces = F.split(line, pattern, -1)
-    # An empty match at the start of a line cuts off no piece.
-    pieces = F.when(F.size(pieces) <= F.size(values), F.concat(F.array(F.lit("")), pieces)).otherwise(pieces)
-    zipped = F.zip_with(pieces, values, lambda a, b: F.struct(a.alias("piece"), b.alias("value")))
-    return F.transform(
-        zipped,
-        lambda z, i: F.struct(F.lit(number).alias("rule"), i.alias("nth"), z["piece"].alias("piece"), z["value"].alias("value")),
-    )
-
-
 def _entities(lines: DataFrame, rules: Sequence[Rule], keep: Sequence[str], k: list[str]) -> DataFrame:
     """``(<k>, ln, a, b, rule_id, value)``: what is replaced in each line, from character a up to b.
 
     Values come from matches in their line and are never matched again. Matches that overlap are one entity under
-    the rule of the leftmost (then of the earlier rule), so no part of a match stays.
+    the rule of the leftmost (then of the earlier rule), so no part of a match stays. All of that is decided inside the row.
     """
-    found = F.flatten(F.array(*[_rule_pieces(F.col("line"), r, i) for i, r in enumerate(rules)]))
-    m = lines.select(*k, "ln", F.explode(found).alias("m")).select(*k, "ln", "m.*")
-    width = F.coalesce(F.length("value"), F.lit(0))
-    upto = F.sum(F.length("piece") + width).over(Window.partitionBy(*k, "ln", "rule").orderBy("nth"))
-    m = m.withColumn("b", upto).withColumn("a", F.col("b") - width).where(width > 0)
-    if keep:
-        m = m.where(~F.col("value").isin(list(keep)))
-    order = Window.partitionBy(*k, "ln").orderBy("a", "rule")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("reach", F.coalesce(reach, F.lit(0)))
-    apart = F.col("a") >= F.col("reach")
-    m = m.withColumn("entity", F.sum(F.when(apart, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    beyond = F.col("value").substr((F.col("reach") - F.col("a") + 1).cast("int"), F.length("value"))
-    part = F.when(apart, F.col("value")).when(F.col("b") > F.col("reach"), beyond).otherwise("")
-    merged = m.groupBy(*k, "ln", "entity").agg(
-        F.min("a").cast("int").alias("a"),
-        F.max("b").cast("int").alias("b"),
-        F.min(F.struct("a", "rule")).alias("first"),
-        F.array_sort(F.collect_list(F.struct("a", "rule", part.alias("part")))).alias("parts"),
-    )
+    found = lines.select(*k, "ln", "line", F.explode(merged_places(F.col("line"), rules, keep)).alias("m"))
     ids = F.array(*[F.lit(r.id) for r in rules])
-    value = F.array_join(F.transform("parts", lambda x: x["part"]), "")
-    return merged.select(*k, "ln", "a", "b", F.element_at(ids, F.col("first.rule") + 1).alias("rule_id"), value.alias("value"))
+    value = F.substring("line", F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
+    return found.select(*k, "ln", F.col("m.start").alias("a"), F.col("m.end").alias("b"), F.element_at(ids, F.col("m.rule") + 1).alias("rule_id"), value.alias("value"))
 
 
 def _with_aliases(lines: Column, hits: Column) -> Column:

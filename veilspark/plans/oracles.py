@@ -245,9 +245,8 @@ APPLIED = (
 
 _HEAD = (
     "<!-- generated by veilspark 0.1.0; policy: defaults; strict: false -->\n# Safe context\n\n"
-    "A redacted view of the source. Function and method bodies are replaced "
-    f"(`...` in Python, `{MARKER}` in JS/TS), and so are upper-case constants that hold collections. "
-    "Imports, class shapes and signatures are kept."
+    f"What is left out stands as `...` (Python) or `{MARKER}` (JavaScript, TypeScript): what functions and methods do, "
+    "and what collections in upper case hold. All else is as it was written, comments in Python aside."
 )
 PARTS = VIEW + (
     ", placed AS (SELECT c.repo, v.path, v.text FROM view v JOIN code c ON c.path = v.path), "
