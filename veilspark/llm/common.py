@@ -34,24 +34,6 @@ def stored(df: DataFrame, label: str, compression: str = "zstd", rows: int = 0)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def stored_by(df: DataFrame, label: str, key: str, rows: int = 0) -> DataFrame:
-    """``df`` stored as :func:`stored` does, in buckets of a column: a join on it doesn't move these rows again.
-
-    Each task writes the buckets of its rows, so nothing is shuffled for it. The catalog is told of the buckets only
-    while the frame is made.
-    """
-    spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{name[-32:]}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).option("path", folder)
-    writer.bucketBy(buckets, key).saveAsTable(name, format="parquet")
-    held = spark.table(name)
-    held.schema  # noqa: B018 - resolved while the table is known
-    spark.sql(f"DROP TABLE {name}")
-    return held
-
-
 #: A key that holds more than this share of the rows is joined where its rows lie; there are at most so many.
 HOT_KEYS = 4096
 
