@@ -36,6 +36,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more.
 
+    Candidates are the links of SimHash (4 of 64 bits), and those of MinHash, as most pairs near that similarity differ in more bits.
     Texts without a word (null ones too) are copies of each other.
     """
     return near.drop_near_copies(docs)

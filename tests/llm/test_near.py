@@ -95,3 +95,14 @@ def test_rare_pairs_lose_none(spark):
     got = {(r.a, r.b) for r in near.rare_pairs(crowd, held).collect()}
     want = {(a, b) for a in sets for b in sets if a < b and roots[a] != roots[b] and near.similar(sets[a], sets[b])}
     assert want <= got and want
+
+
+def test_near_dedup_stage_takes_the_links_of_simhash(spark, monkeypatch):
+    rng = random.Random(9)
+    text = rng.choices([f"w{k}" for k in range(500)], k=400)
+    copy = [*text[:-1], "other"]
+    docs = spark.createDataFrame([(1, " ".join(text), "en", "s", 1), (2, " ".join(copy), "en", "s", 1), (3, "of its own", "en", "s", 1)], SCHEMA)
+    # Without a common bucket of MinHash the copy is found by its fingerprint alone.
+    real = near.bands
+    monkeypatch.setattr(near, "bands", lambda found: real(found) + len(found) * 0 + found.sum())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]

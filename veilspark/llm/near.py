@@ -1,6 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash, each verified exactly.
+"""Near copies by the Jaccard similarity of word shingles: candidates by SimHash and by MinHash, each verified exactly.
 
-Method (Broder; banding after Leskovec, Rajaraman and Ullman): two texts are candidates if all ``ROWS`` minima of one of
+Texts that SimHash links (``simhash.linked``) are candidates, each with the smallest of its component. SimHash misses most pairs
+near the limit of similarity, so MinHash finds more (Broder; banding after Leskovec, Rajaraman and Ullman): two texts are candidates if all ``ROWS`` minima of one of
 ``BANDS`` bands agree. A pair of similarity 0.8 is missed with probability (1 - 0.8**5)**28, under 2 in 100,000.
 A candidate is a link only if the whole shingle sets have the similarity.
 
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import LOWER, as_bytes, fresh_name, gram_hashes, join_named, mixed, stored, word_hashes
 from veilspark.llm.components import connected_components
+from veilspark.llm.simhash import fingerprint, linked
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
+#: Differing bits up to which two SimHash fingerprints are linked.
+DISTANCE = 4
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 _BAND_FACTORS = mixed(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 _BAND_SEEDS = mixed(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
@@ -93,31 +97,41 @@ def rare_pairs(crowd: DataFrame, sets: DataFrame, similarity: float = SIMILARITY
     return mixed_up.join(rest, "shingle").where(fits).select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
 
 
+def simhash_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)`` for ``(class, fp)``: the smallest class of each component of linked fingerprints with every other one there."""
+    roots = linked(prints.select("fp").distinct(), distance)
+    grouped = stored(prints.join(roots, "fp", "left").select("class", F.coalesce("root", "fp").alias("group")).distinct(), "groups")
+    least = grouped.groupBy("group").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1").select("group", "a")
+    return grouped.join(least, "group").where("class != a").select("a", F.col("class").alias("b")).distinct()
+
+
 def _rooted(docs: DataFrame, key: str, text: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows ``(row, class)``, and classes ``(class, n, first, component)``: see :func:`near_components`."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def told(t: str | None) -> tuple[int, np.ndarray]:
-        """The class of a text and its bands; its shingles aren't held."""
+    def told(t: str | None) -> tuple[int, np.ndarray, int]:
+        """The class of a text, its bands and its fingerprint; its shingles aren't held."""
         found = shingles(t, words)
         whole = int(mixed(found).sum(dtype=np.uint64) ^ np.uint64(len(found)))
-        return whole - (1 << 64) if whole >= 1 << 63 else whole, bands(found).view(np.int64)
+        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+        return signed(whole), bands(found).view(np.int64), signed(fingerprint(t))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [told(t.as_py()) for t in batch.column("text")]
-            columns = [pa.array([c for c, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), *columns], ["row", "key", "class", "bands"])
+            columns = [pa.array([c for c, _, _ in rows], pa.int64()), pa.array([b for _, b, _ in rows], pa.list_(pa.int64())), pa.array([f for _, _, f in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), *columns], ["row", "key", "class", "bands", "fp"])
 
     named = docs.select(F.xxhash64(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = stored(named.mapInArrow(cut, f"row bigint, key {kind}, class bigint, bands array<bigint>"), "rows")
+    rows = stored(named.mapInArrow(cut, f"row bigint, key {kind}, class bigint, bands array<bigint>, fp bigint"), "rows")
     first = F.struct(F.col("key").isNull().alias("last"), "key", "row")
     classes = stored(rows.groupBy("class").agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes")
     placed = classes.select("class", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("a")).where("n > 1").select("bucket", "a")
     members = stored(placed.join(stored(shared, "shared"), "bucket"), "members")
+    alike = stored(simhash_pairs(rows.select("class", "fp").distinct()), "alike")
     # The shingle sets of the classes that have a candidate, each from its first row.
-    wanted = members.select("class").distinct().join(classes, "class").select("class", F.col("first.row").alias("row"))
+    wanted = members.select("class").union(alike.select("a")).union(alike.select("b")).distinct().join(classes, "class").select("class", F.col("first.row").alias("row"))
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -126,7 +140,7 @@ def _rooted(docs: DataFrame, key: str, text: str, words: int, similarity: float)
     once = named.select("row", "text").join(stored(wanted, "wanted"), "row").dropDuplicates(["class"])
     sets = stored(once.select("class", packed("text").alias("set")), "sets")
 
-    pairs = members.where("class != a").select("a", F.col("class").alias("b")).distinct()
+    pairs = members.where("class != a").select("a", F.col("class").alias("b")).union(alike).distinct()
     links = _links(pairs, sets, similarity)
     roots = stored(connected_components(links), "roots")
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
