@@ -51,3 +51,13 @@ def test_digests_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tree_digests(empty).count() == 0 and verify_tree(empty, empty).count() == 0
     assert [tuple(r) for r in verify_tree(empty, spark.createDataFrame([("a/b", None)], SCHEMA)).collect()] == [("a/b", "extra")]
+
+
+def test_each_tree_is_read_once(spark, tmp_path):
+    rows = [(f"r{k % 3}/d{k % 5}/f{k}", f"h{k}") for k in range(40)] + [("r0/d0/f0", "h0"), (None, "x")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/old")
+    spark.createDataFrame([r for r in rows if r[0] != "r1/d1/f1"] + [("new/a/b", None)], SCHEMA).write.parquet(f"{tmp_path}/new")
+    told = verify_tree(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("old", "new")))
+    # Digests and comparison share the stored rows: no plan that is left goes back to the tables.
+    assert told.inputFiles() == []
+    assert {tuple(r) for r in told.collect()} == {("r1/d1/f1", "missing"), ("new/a/b", "extra")}
