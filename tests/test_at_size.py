@@ -58,6 +58,14 @@ def test_files_are_written_by_many_tasks(spark, monkeypatch):
     assert len(writers) > 1
 
 
+def test_deliveries_are_written_by_many_tasks(spark, monkeypatch):
+    fresh, folders = registry._fresh, {}
+    monkeypatch.setattr(registry, "_fresh", lambda spark, name: folders.setdefault(name, fresh(spark, name)))
+    assert registry.scan_changes(spark, SF).count() > 0
+    written = [name for name in os.listdir(folders["deliveries"]) if name.endswith(".parquet")]
+    assert len(written) >= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_a_pattern_of_many_rules_is_tried_once(spark, corpus):
     files = corpus(a="2024-01-02 a7b 1999-12-31", b="none")
     own = [(f"r{k}", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "low") for k in range(UNROLLED + 6)]
