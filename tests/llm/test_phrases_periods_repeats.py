@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -61,6 +62,20 @@ def test_phrases_against_brute_force(spark, share, top, chunk):
     assert sorted(map(tuple, got)) == brute_phrases(rows, 4, 5, share, top)
 
 
+def test_groups_of_a_chunk_move_packed(spark):
+    """A chunk sends one row a bucket, not one a word, and every word and count arrives."""
+    df = spark.createDataFrame([("en", " ".join(f"w{k} w{k // 3}" for k in range(900)))], "lang string, text string").coalesce(1)
+    chunks = df.mapInArrow(functools.partial(phrases._cut, size=1 << 19), phrases._FIRST).select("chunk", "lang", "words", "counts")
+    rows = chunks.mapInArrow(functools.partial(phrases._word_rows, bits=4), phrases._WORDS)
+    assert rows.count() <= 16
+    frequent, held = phrases._frequent(rows, phrases._count_words, phrases._WORDS_FOUND, ["lang", "word"], 4, 4)
+    got = {bytes(r.word).decode(): r.f for r in frequent.collect()}
+    assert got == {f"w{k}": 4 for k in range(300)} and frequent.select("id").distinct().count() == 300
+    assert sum(x["size"] for x in held.head().found) == 900
+    numbers = np.array([0, 5, 1 << 20, 7, -3, 1 << 30])
+    assert phrases._unpacked(phrases._packed(numbers)).tolist() == numbers.tolist() and not len(phrases._unpacked(phrases._packed(numbers[:0])))
+
+
 def test_phrases_of_nothing(spark):
     df = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(df).count() == 0

@@ -8,13 +8,16 @@ nothing is hashed.
 
 The relation is held in chunks: one row for about ``CHUNK`` words of one language, cut between pieces, with the places
 and the chunk's own groups in order. A chunk counts its groups before anything is shuffled, so that a group, however
-frequent, is one row a chunk; what returns to a chunk are the numbers of its frequent groups.
+frequent, goes once for each chunk. Groups are dealt to buckets by their hashes; a chunk's groups of one bucket are one row
+of packed arrays, in an order that both sides know. What returns to the chunk are a bit for each of them and the packed
+numbers of the frequent ones.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial, reduce
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import stored
+from veilspark.llm.common import mixed, stored
 
 #: Words of a chunk; a task holds chunks of all its languages open, with this many chunks' words at most.
 CHUNK, OPEN = 1 << 19, 4
@@ -68,35 +71,52 @@ class _Chunk:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i4").tobytes())
+    """Byte by byte: the first bytes of all numbers, then the second ones."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype="<i4")
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def _row(chunk: int, lang: str, held: _Chunk) -> dict:
+    """A chunk whose words are numbered in the order of their hashes, so that a bucket's words stand together."""
     groups = np.concatenate(held.parts)
     words = list(held.numbers)
     counts = np.bincount(groups, minlength=len(words))
-    n = int(counts[1:].sum())
-    counts[0] = 0
-    at = np.flatnonzero(counts)
-    return {"chunk": chunk, "lang": lang, "n": n, "groups": _packed(groups), "idx": at, "words": [words[k] for k in at.tolist()], "counts": counts[at]}
-
-
-_FIRST = "chunk bigint, lang string, n bigint, groups binary, idx array<int>, words array<binary>, counts array<int>"
-_NEXT = "chunk bigint, places binary, groups binary, lefts array<bigint>, rights array<bigint>, counts array<int>"
-_LISTS = {"idx": pa.int32(), "words": pa.binary(), "counts": pa.int32(), "lefts": pa.int64(), "rights": pa.int64()}
-_PLAIN_TYPES = {"lang": pa.string(), "places": pa.binary(), "groups": pa.binary()}
-#: A chunk's number and a group's number in it make a place: bits of the task, of its chunks, and of their groups.
-_CHUNK_BITS, _IDX_BITS = 17, 24
+    hashes = np.fromiter(map(zlib.crc32, words), dtype=np.int64)
+    hashes[0], hashes[counts == 0] = -1, 1 << 32
+    ends, counts[0] = int(counts[0]), 0
+    order = np.argsort(hashes, kind="stable")
+    number = np.empty(len(order), dtype=np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    at = order[1 : 1 + int(np.count_nonzero(counts))]
+    n = len(groups) - ends
+    listed = zstandard.ZstdCompressor(level=1).compress(b"\n".join(words[k] for k in at.tolist()))
+    return {"chunk": chunk, "lang": lang, "n": n, "groups": _packed(number[groups]), "words": listed, "counts": _packed(counts[at])}
+
+
+_FIRST = "chunk bigint, lang string, n bigint, groups binary, words binary, counts binary"
+_NEXT = "chunk bigint, places binary, groups binary, buckets binary, lefts binary, rights binary, counts binary"
+_WORDS = "chunk bigint, bucket int, lang string, words binary, counts binary"
+_PAIRS = "chunk bigint, bucket int, lefts binary, rights binary, counts binary"
+_FOUND = "chunk bigint, bucket int, size int, mask binary, ranks binary, ids array<bigint>, {}, fs array<bigint>"
+_WORDS_FOUND = _FOUND.format("langs array<string>, words array<binary>")
+_PAIRS_FOUND = _FOUND.format("lefts array<bigint>, rights array<bigint>")
+_TYPES = {
+    "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
+    "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()),
+}
+#: Bits of a chunk's number that count the chunks of a task.
+_CHUNK_BITS = 17
+#: Buckets of groups: a power of two up to this, about one for each three chunks.
+_MOST_BUCKETS = 1 << 12
 
 
 def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
-    columns = [c.split()[0] for c in schema.split(", ")]
-    arrays = [pa.array([r[c] for r in rows], pa.list_(_LISTS[c]) if c in _LISTS else _PLAIN_TYPES.get(c, pa.int64())) for c in columns]
-    return pa.RecordBatch.from_arrays(arrays, columns)
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _TYPES[kind]) for c, kind in columns], [c for c, _ in columns])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -134,56 +154,133 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield done(lang, held)
 
 
-def _places(one: pa.RecordBatch, idx: np.ndarray) -> pa.Array:
-    return pa.array((one.column("chunk")[0].as_py() << _IDX_BITS) + idx.astype(np.int64))
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One after the other: a row is large."""
+    return (batch.slice(row, 1).to_pylist()[0] for row in range(batch.num_rows))
+
 
+def _bounds(buckets: np.ndarray) -> zip:
+    """``(bucket, start, end)`` of each bucket of an ascending array."""
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    return zip(buckets[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True)
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word of a chunk: ``(place, lang, word, n)``."""
+
+def _word_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """One row per chunk and bucket: its words and their counts, in the chunk's order."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            idx, words = one.column("idx").flatten().to_numpy(zero_copy_only=False), one.column("words").flatten()
-            yield pa.RecordBatch.from_arrays(
-                [_places(one, idx), pa.repeat(one.column("lang")[0], len(words)), words, one.column("counts").flatten()], ["place", "lang", "word", "n"]
+        for one in _rows(batch):
+            counts = _unpacked(one["counts"])
+            if not len(counts):
+                continue
+            words = zstandard.ZstdDecompressor().decompress(one["words"]).split(b"\n")
+            buckets = np.fromiter(map(zlib.crc32, words), dtype=np.int64) >> (32 - bits)
+            packed = zstandard.ZstdCompressor(level=1).compress
+            yield _batch(
+                [
+                    {"chunk": one["chunk"], "bucket": b, "lang": one["lang"], "words": packed(b"\n".join(words[i:j])), "counts": _packed(counts[i:j])}
+                    for b, i, j in _bounds(buckets)
+                ],
+                _WORDS,
             )
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per group of a chunk: ``(place, left, right, n)``."""
+    """One row per chunk and bucket: its pairs and their counts, in the chunk's order."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            lefts = one.column("lefts").flatten()
-            yield pa.RecordBatch.from_arrays(
-                [_places(one, np.arange(len(lefts))), lefts, one.column("rights").flatten(), one.column("counts").flatten()], ["place", "left", "right", "n"]
+        for one in _rows(batch):
+            buckets, lefts, rights, counts = (_unpacked(one[c]) for c in ("buckets", "lefts", "rights", "counts"))
+            if not len(counts):
+                continue
+            yield _batch(
+                [
+                    {"chunk": one["chunk"], "bucket": b, "lefts": _packed(np.diff(lefts[i:j], prepend=0)), "rights": _packed(rights[i:j]), "counts": _packed(counts[i:j])}
+                    for b, i, j in _bounds(buckets)
+                ],
+                _PAIRS,
             )
 
 
-def _join_adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(chunk, places, groups, found)`` to the next relation: semi-join, merge join by place, group and count."""
+def _told(rows: list[dict], which: list[np.ndarray], sums: np.ndarray, bucket: int, least: int, bits: int) -> tuple[list[dict], np.ndarray, np.ndarray]:
+    """What each chunk learns of its groups, and the places and numbers of the bucket's frequent groups.
+
+    A frequent group's number is its rank in the bucket and the bucket: numbers of all buckets are dense and differ.
+    """
+    often = sums >= least
+    rank = np.cumsum(often) - 1
+    ids = (np.arange(int(np.count_nonzero(often)), dtype=np.int64) << bits) | bucket
+    if len(ids) and int(ids[-1]) >= 1 << 31:
+        raise OverflowError("more frequent phrases of one length than 31 bits can number")
+    out = []
+    for row, own in zip(rows, which, strict=True):
+        mask = often[own]
+        ranks = rank[own[mask]]
+        out.append({"chunk": row["chunk"], "bucket": bucket, "size": len(own), "mask": np.packbits(mask).tobytes(), "ranks": _packed(np.diff(ranks, prepend=0))})
+    return out, np.flatnonzero(often), ids
+
+
+def _sums(which: list[np.ndarray], counts: list[np.ndarray], size: int) -> np.ndarray:
+    sums = np.zeros(size, dtype=np.int64)
+    for own, n in zip(which, counts, strict=True):
+        sums[own] += n
+    return sums
+
+
+def _count_words(table: pa.Table, least: int, bits: int) -> pa.Table:
+    """The words of a bucket counted over all chunks. A chunk has a word once."""
+    rows = table.to_pylist()
+    numbers: dict[tuple[str, bytes], int] = {}
+    which = []
+    for row in rows:
+        words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
+        which.append(np.fromiter((numbers.setdefault((row["lang"], w), len(numbers)) for w in words), dtype=np.int64, count=len(words)))
+    sums = _sums(which, [_unpacked(row["counts"]) for row in rows], len(numbers))
+    out, at, ids = _told(rows, which, sums, rows[0]["bucket"], least, bits)
+    names = list(numbers)
+    found = [names[k] for k in at.tolist()]
+    out.append({"bucket": rows[0]["bucket"], "ids": ids, "langs": [x for x, _ in found], "words": [x for _, x in found], "fs": sums[at]})
+    return pa.Table.from_batches([_batch(out, _WORDS_FOUND)])
+
+
+def _count_pairs(table: pa.Table, least: int, bits: int) -> pa.Table:
+    """The pairs of a bucket counted over all chunks. A chunk has a pair once."""
+    rows = table.to_pylist()
+    keys = [(np.cumsum(_unpacked(row["lefts"]), dtype=np.int64) << 32) | _unpacked(row["rights"]) for row in rows]
+    named, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    which = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+    sums = _sums(which, [_unpacked(row["counts"]) for row in rows], len(named))
+    out, at, ids = _told(rows, which, sums, rows[0]["bucket"], least, bits)
+    out.append({"bucket": rows[0]["bucket"], "ids": ids, "lefts": named[at] >> 32, "rights": named[at] & 0xFFFFFFFF, "fs": sums[at]})
+    return pa.Table.from_batches([_batch(out, _PAIRS_FOUND)])
+
+
+def _join_adjacent(batches: Iterator[pa.RecordBatch], first: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(chunk, places, groups, found)`` to the next relation: semi-join, merge join by place, group and count.
+
+    ``first`` is the number of a chunk's first group (the end of a piece is word 0).
+    """
     for batch in batches:
-        for row in range(batch.num_rows):
-            one = batch.slice(row, 1)
-            groups = _unpacked(one.column("groups")[0].as_py())
-            found = one.column("found").flatten()
-            number = np.full(int(groups.max(initial=0)) + 1, -1, dtype=np.int64)
-            number[found.field("idx").to_numpy(zero_copy_only=False)] = found.field("id").to_numpy(zero_copy_only=False)
-            steps = one.column("places")[0].as_py()
-            places = np.arange(len(groups), dtype=np.int32) if steps is None else np.cumsum(_unpacked(steps), dtype=np.int32)
-            stays = number[groups] >= 0
-            places, groups = places[stays], groups[stays]
+        for one in _rows(batch):
+            groups, found = _unpacked(one["groups"]), sorted(one["found"], key=lambda x: x["bucket"])
+            number = np.full(first + sum(x["size"] for x in found), -1, dtype=np.int64)
+            at = first
+            for x in found:
+                mask = np.unpackbits(np.frombuffer(x["mask"], dtype=np.uint8), count=x["size"]).astype(bool)
+                number[at : at + x["size"]][mask] = (np.cumsum(_unpacked(x["ranks"]), dtype=np.int64) << bits) | x["bucket"]
+                at += x["size"]
+            places = np.arange(len(groups), dtype=np.int32) if one["places"] is None else np.cumsum(_unpacked(one["places"]), dtype=np.int32)
+            ids = number[groups]
+            stays = ids >= 0
+            places, ids = places[stays], ids[stays]
             at = np.flatnonzero(places[1:] == places[:-1] + 1)
-            pairs = groups[at].astype(np.int64) * len(number) + groups[at + 1]
-            named, first, which, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-            # Frequent groups have small numbers: those pack well.
-            order = np.argsort(-counts, kind="stable")
+            named, which, counts = np.unique((ids[at] << 32) | ids[at + 1], return_inverse=True, return_counts=True)
+            buckets = (mixed(named) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(buckets, kind="stable")
             rank = np.empty(len(order), dtype=np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
-            first = at[first[order]]
+            named = named[order]
             yield _batch([{
-                "chunk": one.column("chunk")[0].as_py(), "places": _packed(np.diff(places[at], prepend=0)), "groups": _packed(rank[which]),
-                "lefts": number[groups[first]], "rights": number[groups[first + 1]], "counts": counts[order],
+                "chunk": one["chunk"], "places": _packed(np.diff(places[at], prepend=0)), "groups": _packed(rank[which]),
+                "buckets": _packed(buckets[order]), "lefts": _packed(named >> 32), "rights": _packed(named & 0xFFFFFFFF), "counts": _packed(counts[order]),
             }], _NEXT)
 
 
@@ -191,18 +288,17 @@ def _relation(df: DataFrame, label: str) -> DataFrame:
     return stored(df, label, rows=_FILE_ROWS)
 
 
-def _frequent(each: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows ``(place, <by>, n)`` the frequent groups ``(id, <by>, f)``, and per chunk the numbers of its frequent groups.
+def _frequent(each: DataFrame, count: Callable[..., pa.Table], schema: str, by: list[str], least: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows per chunk and bucket the frequent groups ``(id, <by>, f)``, and per chunk what its buckets found."""
 
-    A group is one row a chunk, so rows are counted where they are dealt and are shuffled once. A group's number is its first place.
-    """
-    group = Window.partitionBy(*by)
-    counted = each.withColumn("f", F.sum("n").over(group)).withColumn("id", F.min("place").over(group)).where(F.col("f") >= least)
-    first = F.col("place") == F.col("id")
-    named = stored(counted.select("place", "id", *[F.when(first, F.col(c)).alias(c) for c in (*by, "f")]), "frequent")
-    chunk, idx = F.shiftright("place", _IDX_BITS), F.col("place").bitwiseAND((1 << _IDX_BITS) - 1).cast("int")
-    held = named.select(chunk.alias("chunk"), F.struct(idx.alias("idx"), "id").alias("one")).groupBy("chunk").agg(F.collect_list("one").alias("found"))
-    return named.where(first).select("id", *by, "f"), held
+    def counted(rows: pa.Table) -> pa.Table:
+        return count(rows, least, bits)
+
+    told = stored(each.groupBy("bucket").applyInArrow(counted, schema), "frequent")
+    held = told.where("chunk is not null").select("chunk", F.struct("bucket", "size", "mask", "ranks").alias("one")).groupBy("chunk").agg(F.collect_list("one").alias("found"))
+    lists = ["ids", *[f"{c}s" for c in by], "fs"]
+    frequent = told.where("chunk is null").select(F.inline(F.arrays_zip(*lists))).toDF("id", *by, "f")
+    return frequent, held
 
 
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = 100, longest: int = 5, chunk: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
@@ -214,16 +310,19 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     relation = _relation(rows.mapInArrow(partial(_cut, size=chunk), _FIRST), "words")
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
-    each = relation.select("chunk", "lang", "idx", "words", "counts").mapInArrow(_word_rows, "place bigint, lang string, word binary, n int")
-    frequent, held = _frequent(each, ["lang", "word"], least)
+    chunks = relation.count()
+    bits = max(4, min(_MOST_BUCKETS, chunks // 3).bit_length())
+    each = relation.select("chunk", "lang", "words", "counts").mapInArrow(partial(_word_rows, bits=bits), _WORDS)
+    frequent, held = _frequent(each, _count_words, _WORDS_FOUND, ["lang", "word"], least, bits)
     one = F.array("f")
     none = F.lit(None).cast("bigint")
     phrases = [frequent.select("id", "lang", F.decode("word", "UTF-8").alias("phrase"), "f", one.alias("heads"), one.alias("tails"), none.alias("left"), none.alias("right"))]
     relation = relation.select("chunk", F.lit(None).cast("binary").alias("places"), "groups")
-    for _ in range(1, longest):
-        relation = _relation(relation.join(held, "chunk").mapInArrow(_join_adjacent, _NEXT), "phrases")
-        each = relation.select("chunk", "lefts", "rights", "counts").mapInArrow(_pair_rows, "place bigint, left bigint, right bigint, n int")
-        frequent, held = _frequent(each, ["left", "right"], least)
+    for k in range(1, longest):
+        joined = partial(_join_adjacent, first=1 if k == 1 else 0, bits=bits)
+        relation = _relation(relation.join(held, "chunk").mapInArrow(joined, _NEXT), "phrases")
+        each = relation.select("chunk", "buckets", "lefts", "rights", "counts").mapInArrow(_pair_rows, _PAIRS)
+        frequent, held = _frequent(each, _count_pairs, _PAIRS_FOUND, ["left", "right"], least, bits)
         relation = relation.select("chunk", "places", "groups")
         head = phrases[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("begin"), "heads")
         tail = phrases[-1].select(F.col("id").alias("right"), F.col("phrase").alias("end"), "tails")
