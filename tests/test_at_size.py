@@ -4,6 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from veilspark.operators import diff
 from veilspark.operators.context import redact_file
 from veilspark.operators.python_syntax import syntax_errors
 from veilspark.operators.rename import private_definitions
@@ -28,6 +29,15 @@ def test_syntax_errors_are_looked_for_once(spark, corpus):
     assert searches(private_definitions(files)) == 1
 
 
+def test_edits_and_counts_are_not_sent_through_the_driver(spark, corpus, tmp_path):
+    """A small file makes texts many times its size, so its size tells nothing of the sides of a join."""
+    corpus(a__js="function f(x) { return x; }\n", b__py="def f(x):\n    return x\n").write.parquet(str(tmp_path / "code"))
+    df = spark.read.parquet(str(tmp_path / "code"))
+    for made in (redact_file(df, strict=True), diff.diff_counts(df, strict=True), diff.diff_context(df)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: r.function_bodies_redacted for r in diff.diff_counts(df, strict=True).collect()} == {"a.js": 1, "b.py": 1}
+
+
 def test_rows_of_one_path_with_and_without_an_error_stay_apart(spark):
     rows = [("a.py", "def f(x):\n    return 1\n"), ("a.py", "def f(x)\n"), ("a.py", "def f(x)\n"), ("a.py", ""), ("a.py", None)]
     view = redact_file(spark.createDataFrame(rows, "path string, text string")).collect()
