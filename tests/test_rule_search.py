@@ -4,11 +4,12 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from veilspark.functions.regex_check import required_sets
 from veilspark.operators import rule_search, scan
 from veilspark.operators.rule_search import TextSearch
-from veilspark.rules import Rule
+from veilspark.rules import Rule, rule_index
 
 PATTERNS = [
     "alpha +beta[a-z]*", "(?:alpha|gammas?) ?(?:beta|deltas)", "(?:with|beta)ing", "(?i)ALPHA[ =]+beta", r"x\Qa.b\Ey", "gamma.{0,9}delta", "(?:ab){2,}cd", "a{5}b+",
@@ -74,3 +75,10 @@ def test_blocks_of_rules_find_what_unrolled_ones_do_and_move_no_line(spark, monk
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     nameless = scan.scan_rule_table(df, spark.createDataFrame([(None, "alpha +betas"), (None, None)], "id string, pattern string"))
     assert {(r.severity, r.rule_id) for r in nameless.collect()} == {("medium", None)}
+
+
+def test_rules_of_one_pattern_are_judged_by_all_cores(spark):
+    table = spark.range(200).selectExpr("concat('r', id) AS id", "'alpha +beta' AS pattern").coalesce(1)
+    index = rule_index(table.union(table))
+    assert index.count() == 200
+    assert index.select("id", F.spark_partition_id().alias("p")).select("p").distinct().count() >= spark.sparkContext.defaultParallelism
